@@ -38,13 +38,16 @@ def salted_join(
     on: list[str],
     how: str = "inner",
     spread: str = "ord",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join ``many`` (hot keys possible) with ``few`` (few rows per key).
 
     ``spread`` is a column of ``many`` that differs between rows of one key;
     its hash picks the salt, so a re-run task gives the same salts.
+    ``rows_per_task=None`` says that no key can be hot (see ``salting``).
     """
+    if rows_per_task is None:
+        return many.join(few, on, how)
     hot = F.broadcast(hot_keys(many, on, rows_per_task))
     no_key = F.lit(False)
     for key in on:
@@ -63,6 +66,11 @@ def salted_join(
     return joined.drop("_salt")
 
 
+def salting(stored: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int | None:
+    """``rows_per_task``, or None when the whole stored table fits one task."""
+    return rows_per_task if stored.count() > rows_per_task else None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it.
 
