@@ -8,7 +8,6 @@ for either. Ingest runs them once; later steps work on cleaned columns.
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,17 +26,17 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKC")
 
 
-def _code_point(match: re.Match) -> str:
-    digits = match.group(1)
-    code = int(digits[1:], 16) if digits[0] in "xX" else int(digits)
-    return chr(code) if code <= 0x10FFFF else match.group(0)
-
-
 @F.pandas_udf(T.StringType())
 def decode_numeric_entities(values: pd.Series) -> pd.Series:
     """Replace ``&#65;`` and ``&#x41;`` by the character they stand for."""
-    decimal = values.str.replace(r"&#(\d+);", _code_point, regex=True)
-    return decimal.str.replace(r"&#([xX][0-9a-fA-F]+);", _code_point, regex=True)
+
+    def character(match: re.Match) -> str:
+        digits = match.group(1)
+        code = int(digits[1:], 16) if digits[0] in "xX" else int(digits)
+        return chr(code) if code <= 0x10FFFF else match.group(0)
+
+    decimal = values.str.replace(r"&#(\d+);", character, regex=True)
+    return decimal.str.replace(r"&#([xX][0-9a-fA-F]+);", character, regex=True)
 
 
 def trim_space(text: Column) -> Column:

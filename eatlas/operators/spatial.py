@@ -12,10 +12,15 @@ from .skew import ROWS_PER_TASK, hot_keys
 JOIN_CELL_DEGREES = 0.05
 
 
-def covering_cells(df: DataFrame, radius: Column, degrees: float) -> DataFrame:
-    """One row per grid cell (cell_i, cell_j) that the circle may touch."""
+def covering_cells(df: DataFrame, radius: Column, degrees: float, true_latitude: Column | None = None) -> DataFrame:
+    """One row per grid cell (cell_i, cell_j) that the circle may touch.
+
+    ``true_latitude`` is where the circle lies if ``latitude`` was shifted to
+    fit a grid with an offset.
+    """
     lat, lon = F.col("latitude"), F.col("longitude")
-    dlat, dlon = geo.latitude_span(radius), geo.longitude_span(lat, radius)
+    dlat = geo.latitude_span(radius)
+    dlon = geo.longitude_span(lat if true_latitude is None else true_latitude, radius)
     index = lambda c: geo.tile_index(c, degrees, 0.0)
     return df.withColumn("cell_i", F.explode(F.sequence(index(lat - dlat), index(lat + dlat)))).withColumn(
         "cell_j", F.explode(F.sequence(index(lon - dlon), index(lon + dlon)))
