@@ -1,4 +1,4 @@
 """Queries over the driver tables, each with its SQL check where one exists."""
 
-from . import classification, recommend, text  # noqa: F401
+from . import audit, classification, dedup, matching, recommend, text  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401

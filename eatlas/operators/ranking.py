@@ -188,7 +188,7 @@ def merge_locations(places: DataFrame, addresses: DataFrame) -> DataFrame:
     most 5 suggestions leave. A side that found nothing or failed is empty.
     """
     limited = lambda df, kind, limit: df.where(F.col("rank") <= limit).withColumn("kind", F.lit(kind))
-    spot = F.concat_ws("-", F.format_number("latitude", "0.00000"), F.format_number("longitude", "0.00000"))
+    spot = F.struct(F.round("latitude", 5), F.round("longitude", 5))
     listed = limited(places, 0, V.LOCATION_RESULT_LIMIT).unionByName(
         limited(addresses, 1, V.LOCATION_ADDRESS_LIMIT)
     )
