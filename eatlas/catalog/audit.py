@@ -32,8 +32,8 @@ where key <> '' group by key having count(*) > 1""",
 def duplicate_texts(spark, sf_dir):
     """Whole document texts that occur more than once."""
     docs = adapters.table(spark, sf_dir, "documents")
-    key = name_key(F.col("text"))
-    return audit.duplicate_keys(docs, F.when(F.length(key) > 0, F.md5(key)))
+    key = F.nullif(F.md5(name_key(F.col("text"))), F.md5(F.lit("")))
+    return audit.duplicate_keys(docs, key)
 
 
 _PLACE_KEY = f"{sql_name_key('name')} || '|' || {sql_name_key('address')}"

@@ -79,7 +79,7 @@ select *, row_number() over (partition by id order by strict_match desc, exact_n
 )
 def ranked_local_hits(spark, sf_dir):
     """Local-search hits of every place, best first, with their signals."""
-    ranked = matching.rank_local_hits(_evaluated(spark, sf_dir))
+    ranked = matching.rank_local_hits(materialize(_evaluated(spark, sf_dir)))
     return ranked.select(
         "id", "hit_ord", "distance_meters", "exact_name", "address_match", "coordinates_match", "strict_match", "rank"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 from .rules import first_evidence, first_match, matches
-from .text import collapse_spaces, name_key
+from .text import bound, collapse_spaces, name_key
 
 
 def is_meal_name(name: Column) -> Column:
@@ -32,10 +32,14 @@ def is_meal_text(text: Column) -> Column:
 
 def is_priced_meal(name: Column, price: Column) -> Column:
     """Source-B meal test: sensible price, no add-on or drink word."""
-    key = name_key(name)
+    return bound(name_key(name), lambda key: is_priced_meal_key(key, price))
+
+
+def is_priced_meal_key(key: Column, price: Column) -> Column:
+    """The source-B meal test on a name key."""
     return (
-        (F.length(key) > 0)
-        & price.between(*V.MEAL_PRICE_RANGE)
+        price.between(*V.MEAL_PRICE_RANGE)
+        & (F.length(key) > 0)
         & ~matches(key, V.ADD_ON_OR_DRINK)
     )
 
@@ -76,9 +80,9 @@ def flag_count(flagged: Column, flag: str) -> Column:
     return F.size(F.filter(flagged, lambda m: m[flag]))
 
 
-def dedupe_menus(menus: Column) -> Column:
-    """First of each (name key, price), order kept."""
-    keyed = F.transform(
+def keyed_menus(menus: Column) -> Column:
+    """Menus with the key that tells them apart."""
+    return F.transform(
         menus,
         lambda m: F.struct(
             m["name"].alias("name"),
@@ -86,24 +90,13 @@ def dedupe_menus(menus: Column) -> Column:
             F.concat_ws("|", name_key(m["name"]), m["price"].cast("string")).alias("key"),
         ),
     )
-    # Walk once, keeping the keys seen so far next to the kept menus.
-    start = F.struct(
-        F.array().cast("array<string>").alias("keys"),
-        F.array().cast("array<struct<name:string,price:bigint>>").alias("kept"),
-    )
-    return F.aggregate(
-        keyed,
-        start,
-        lambda acc, m: F.when(F.array_contains(acc["keys"], m["key"]), acc).otherwise(
-            F.struct(
-                F.array_append(acc["keys"], m["key"]).alias("keys"),
-                F.array_append(
-                    acc["kept"], F.struct(m["name"].alias("name"), m["price"].alias("price"))
-                ).alias("kept"),
-            )
-        ),
-        lambda acc: acc["kept"],
-    )
+
+
+def first_menus(keyed: Column) -> Column:
+    """First menu of each key, order kept; ``keyed`` is a stored column."""
+    keys = F.transform(keyed, lambda m: m["key"])
+    firsts = F.filter(keyed, lambda m, i: F.array_position(keys, m["key"]) == i + 1)
+    return F.transform(firsts, lambda m: F.struct(m["name"].alias("name"), m["price"].alias("price")))
 
 
 def _menu_count(menus: Column, pattern: str) -> Column:

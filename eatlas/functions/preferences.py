@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .text import bound
 
 _NUMBER_TYPES = r"^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
@@ -32,7 +33,10 @@ def parse_preferences(text: Column) -> Column:
 
     The unlimited budget is +Infinity, a time limit is '10', '20' or 'wide'.
     """
-    value = F.try_parse_json(text)
+    return bound(F.try_parse_json(text), _preferences)
+
+
+def _preferences(value: Column) -> Column:
     budget = F.when(
         _text_field(value, "budget") == V.UNLIMITED_BUDGET_TEXT, F.lit(float("inf"))
     ).otherwise(_allowed(_number_field(value, "budget"), V.BUDGET_OPTIONS[:-1]))

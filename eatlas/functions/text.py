@@ -8,6 +8,7 @@ for either. Ingest runs them once; later steps work on cleaned columns.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,15 @@ from . import fixed_values as V
 # White space as text trimming and collapsing understand it.
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+# Whole runs of dropped characters at once: the same keys, fewer replacements.
+_DROP = V.KEY_DROP + "+"
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the
+    body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
@@ -60,17 +70,17 @@ def collapse_spaces(text: Column) -> Column:
 def name_key(name: Column) -> Column:
     """Comparison key of a business or menu name (cleaned text expected)."""
     unmarked = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), V.COMPANY_MARKS, "")
-    return F.regexp_replace(unmarked, V.KEY_DROP, "")
+    return F.regexp_replace(unmarked, _DROP, "")
 
 
 def address_key(address: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(address, F.lit(""))), V.KEY_DROP, "")
+    return F.regexp_replace(F.lower(F.coalesce(address, F.lit(""))), _DROP, "")
 
 
 def home_address_key(address: Column) -> Column:
     """Address key that ignores the home region's name."""
     lowered = F.lower(F.coalesce(address, F.lit("")))
-    return F.regexp_replace(F.regexp_replace(lowered, V.HOME_REGION_WORDS, ""), V.KEY_DROP, "")
+    return F.regexp_replace(F.regexp_replace(lowered, V.HOME_REGION_WORDS, ""), _DROP, "")
 
 
 def _without_parentheses(address: Column) -> Column:
@@ -136,13 +146,15 @@ def parse_price(value: Column, numeric: bool = False) -> Column:
 
 def source_category(category: Column) -> Column:
     """Source-A business type to one of the source categories, else NULL."""
-    key = name_key(category)
-    choice = F.lit(None).cast("string")
-    other = F.lit(False)
-    for word in V.CATEGORY_OTHER_WORDS:
-        other = other | key.contains(word)
-    choice = F.when(other | (key == V.CATEGORY_OTHER_EXACT), V.OTHER_SOURCE_CATEGORY)
-    return F.coalesce(*[F.when(key.startswith(w), F.lit(w)) for w in V.CATEGORY_PREFIXES], choice)
+
+    def choose(key: Column) -> Column:
+        other = key == V.CATEGORY_OTHER_EXACT
+        for word in V.CATEGORY_OTHER_WORDS:
+            other = other | key.contains(word)
+        starts = [F.when(key.startswith(word), F.lit(word)) for word in V.CATEGORY_PREFIXES]
+        return F.coalesce(*starts, F.when(other, V.OTHER_SOURCE_CATEGORY))
+
+    return bound(name_key(category), choose)
 
 
 def find_district(*texts: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import menus, text
 from ..functions.verification import has_place_id, is_checked_unverified, is_confirmed
 from . import dedup
-from .skew import salted_join
+from .skew import computed_once, salted_join
 from .snapshot import _side_by_side
 
 
@@ -49,9 +49,12 @@ def duplicate_key_members(df: DataFrame, key: Column, columns: list[Column], spr
 
 def name_address(df_name: str = "name", df_address: str = "address") -> Column:
     """Key of equal name and address, '' when one of them is empty."""
+    def joined(name: Column, address: Column) -> Column:
+        both = (F.length(name) > 0) & (F.length(address) > 0)
+        return F.when(both, F.concat_ws("|", name, address)).otherwise("")
+
     name, address = text.name_key(F.col(df_name)), text.address_key(F.col(df_address))
-    both = (F.length(name) > 0) & (F.length(address) > 0)
-    return F.when(both, F.concat_ws("|", name, address)).otherwise("")
+    return text.bound(F.struct(name.alias("n"), address.alias("a")), lambda k: joined(k["n"], k["a"]))
 
 
 def side_menus(places: DataFrame, max_price: float = V.SIDE_MENU_MAX_PRICE) -> DataFrame:
@@ -70,15 +73,10 @@ def side_menus(places: DataFrame, max_price: float = V.SIDE_MENU_MAX_PRICE) -> D
 
 def category_reviews(places: DataFrame) -> DataFrame:
     """Places whose words suggest another category, with the evidence."""
-    words = menus.audit_text(F.col("name"), F.col("menus"))
-    # The text is computed once, behind a generator.
-    texts = places.select(*reference_columns(), F.explode(F.array(words)).alias("_text"))
     rules = V.AUDIT_CATEGORY_RULES
-    suggested = texts.select(
-        *reference_columns(),
-        "_text",
-        F.explode(F.array(menus.first_match(F.col("_text"), rules))).alias("suggested_category"),
-    )
+    words = menus.audit_text(F.col("name"), F.col("menus"))
+    texts = computed_once(places.select(*reference_columns(), "menus"), _text=words).drop("menus")
+    suggested = computed_once(texts, suggested_category=menus.first_match(F.col("_text"), rules))
     reviewed = suggested.where(
         F.col("suggested_category").isNotNull() & ~F.col("category").eqNullSafe(F.col("suggested_category"))
     )

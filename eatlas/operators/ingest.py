@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import geo, menus, rules, text
-from .skew import ROWS_PER_TASK, salted_join
+from .skew import ROWS_PER_TASK, computed_once, materialize, salted_join, salting
 from .snapshot import last_by_id
 
 # Menu rows of one place that one task concatenates at a time.
@@ -40,17 +40,19 @@ def adapt_wide(raw: DataFrame, clean: bool = True) -> DataFrame:
             for i in numbers
         ]
     )
-    priced = F.filter(slots, lambda m: (F.length(m["name"]) > 0) & m["price"].isNotNull())
-    adapted = cleaned.select(
+    named = cleaned.select(
         "ord",
         text.source_category(F.col("category")).alias("category"),
         *[text.blank_to_null(F.col(c)).alias(c) for c in ("province", "district", "name", "phone", "address")],
-        menus.dedupe_menus(priced).alias("menus"),
+        slots.alias("_slots"),
     )
-    complete = F.size("menus") > 0
+    complete = F.lit(True)
     for column in ("category", "province", "district", "name", "address"):
         complete = complete & F.col(column).isNotNull()
-    return adapted.where(complete)
+    priced = F.filter("_slots", lambda m: (F.length(m["name"]) > 0) & m["price"].isNotNull())
+    keyed = computed_once(named.where(complete), _keyed=menus.keyed_menus(priced))
+    adapted = keyed.where(F.size("_keyed") > 0).withColumn("menus", menus.first_menus(F.col("_keyed")))
+    return adapted.drop("_slots", "_keyed")
 
 
 def with_source_key(rows: DataFrame) -> DataFrame:
@@ -66,20 +68,20 @@ def last_per_key(rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
     return picked.select(*[F.col(c) if c in (key, order) else F.col(f"_last.{c}").alias(c) for c in rows.columns])
 
 
-def _tier_keys() -> Column:
-    """Match keys of a row from strongest to weakest, without missing ones."""
-    province, district, name = F.col("province"), F.col("district"), F.col("name")
+def _tier_keys(rows: DataFrame) -> DataFrame:
+    """(ord, tier, key): match keys of every row, the strongest is tier 1."""
+    columns = ("province", "district", "name", "address", "phone")
+    parts = computed_once(
+        rows.select("ord", *columns), parts=F.struct(*[text.name_key(F.col(c)).alias(c) for c in columns])
+    ).select("ord", F.length(F.coalesce("phone", F.lit(""))).alias("_phone"), "parts.*")
     keys = (
-        text.source_key(province, district, name, F.col("address")),
-        text.name_address_key(name, F.col("address")),
-        text.phone_key(province, district, name, F.col("phone")),
-        text.name_district_key(province, district, name),
+        F.concat_ws("|", "province", "district", "name", "address"),
+        F.concat_ws("|", "name", "address"),
+        F.when(F.col("_phone") > 0, F.concat_ws("|", "province", "district", "name", "phone")),
+        F.concat_ws("|", "province", "district", "name"),
     )
-    tiers = [
-        F.when(F.length(key) > 0, F.struct(F.lit(tier).alias("tier"), key.alias("key")))
-        for tier, key in enumerate(keys, start=1)
-    ]
-    return F.array_compact(F.array(*tiers))
+    tiers = [F.struct(F.lit(tier).alias("tier"), key.alias("key")) for tier, key in enumerate(keys, start=1)]
+    return parts.select("ord", F.inline(F.array(*tiers))).where(F.col("key").isNotNull())
 
 
 def find_existing(rows: DataFrame, existing: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
@@ -90,13 +92,13 @@ def find_existing(rows: DataFrame, existing: DataFrame, rows_per_task: int | Non
     (tier, key), and the strongest hit is kept.
     """
     known = (
-        existing.select("ord", F.inline(_tier_keys()))
+        _tier_keys(existing)
         .groupBy("tier", "key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("existing_ord"))
         .where(F.col("n") == 1)
         .drop("n")
     )
-    asked = rows.select("ord", F.inline(_tier_keys()))
+    asked = _tier_keys(rows)
     hits = salted_join(asked, known, ["tier", "key"], "inner", "ord", rows_per_task)
     best = F.min(F.struct("tier", "existing_ord")).alias("best")
     return hits.groupBy("ord").agg(best).select("ord", "best.existing_ord", "best.tier")
@@ -112,16 +114,19 @@ def locate(
 
     Adds ``origin``: preserved, geocoded or skipped (no position known). An
     existing record lends all its location fields, the cache only serves rows
-    without one. ``geocode_cache``: source_key and the location columns.
+    without one. ``rows`` are unique per source key (``last_per_key``);
+    ``geocode_cache``: source_key and the location columns.
     """
-    keyed = with_source_key(rows)
-    hits = find_existing(rows, existing, rows_per_task).select("ord", "existing_ord")
+    keyed = materialize(with_source_key(rows))
+    rows_per_task = salting(keyed, rows_per_task) if rows_per_task else None
+    hits = materialize(find_existing(keyed, existing, rows_per_task).select("ord", "existing_ord"))
     old = existing.select(
         F.col("ord").alias("existing_ord"), F.col("id").alias("_id"), *[F.col(c).alias(f"_old_{c}") for c in _LOCATION]
     )
     cache = geocode_cache.select("source_key", F.lit(True).alias("_cached"), *[F.col(c).alias(f"_new_{c}") for c in _LOCATION])
-    matched = salted_join(keyed.join(hits, "ord", "left"), old, ["existing_ord"], "left", "ord", rows_per_task)
-    joined = salted_join(matched, cache, ["source_key"], "left", "ord", rows_per_task)
+    # Many rows may continue one record; source keys are unique on both sides.
+    lent = salted_join(hits, old, ["existing_ord"], "inner", "ord", rows_per_task)
+    joined = keyed.join(lent, "ord", "left").join(cache, "source_key", "left")
     is_old = F.col("_id").isNotNull()
     origin = F.when(is_old, "preserved").when(F.col("_cached"), "geocoded").otherwise("skipped")
     return joined.withColumns(
@@ -141,17 +146,18 @@ def adapt_menu_rows(raw: DataFrame, clean: bool = True) -> DataFrame:
     fix = text.clean_text if clean else (lambda c: text.trim_space(F.coalesce(c, F.lit(""))))
     cleaned = raw.select(
         F.col("menu_ord").alias("ord"),
-        fix(F.col("RSTR_ID")).alias("rid"),
-        fix(F.col("MENU_NM")).alias("name"),
-        text.parse_price(fix(F.col("MENU_PRC").cast("string"))).alias("price"),
-        fix(F.col("RGN_NM")).alias("region"),
-    ).withColumn("key", text.name_key(F.col("name")))
-    return cleaned.where(
-        (F.length("rid") > 0)
-        & (F.length("name") > 0)
-        & F.col("price").isNotNull()
-        & menus.is_priced_meal(F.col("name"), F.col("price"))
+        *[fix(F.col(c)).alias(n) for c, n in (("RSTR_ID", "rid"), ("MENU_NM", "name"), ("RGN_NM", "region"))],
+        fix(F.col("MENU_PRC").cast("string")).alias("_price"),
     )
+    keyed = computed_once(
+        cleaned,
+        fields=F.struct(
+            "ord", "rid", "name", "region",
+            text.parse_price(F.col("_price")).alias("price"),
+            text.name_key(F.col("name")).alias("key"),
+        ),
+    ).select("fields.*")
+    return keyed.where((F.length("rid") > 0) & menus.is_priced_meal_key(F.col("key"), F.col("price")))
 
 
 def menu_words(usable: DataFrame) -> DataFrame:
@@ -194,7 +200,8 @@ def adapt_normalized(raw_places: DataFrame, raw_menus: DataFrame, clean: bool =
     left out. Menus count once per (name, price) and are ordered by price.
     """
     fix = text.clean_text if clean else (lambda c: text.trim_space(F.coalesce(c, F.lit(""))))
-    usable = adapt_menu_rows(raw_menus, clean)
+    # Three aggregations read the cleaned menus.
+    usable = materialize(adapt_menu_rows(raw_menus, clean))
     firsts = usable.groupBy("rid", "key", "price").agg(F.min(F.struct("ord", "name")).alias("first"))
     nested = firsts.groupBy("rid").agg(
         F.transform(

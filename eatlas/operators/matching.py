@@ -161,7 +161,8 @@ def evaluate_local_hits(
         F.col("latitude").alias("own_latitude"),
         F.col("longitude").alias("own_longitude"),
     )
-    joined = salted_join(cleaned, own, ["id"], "inner", "hit_ord", rows_per_task)
+    cleaned = cleaned.withColumn("hit_key", text.name_key(F.col("hit_name")))
+    joined = salted_join(cleaned, own, ["id"], "inner", "hit_ord", rows_per_task, hits.select(F.col("restaurant_id").alias("id")))
     meters = geo.distance_meters(
         F.col("own_latitude"), F.col("own_longitude"), F.col("hit_latitude"), F.col("hit_longitude")
     )
@@ -171,7 +172,7 @@ def evaluate_local_hits(
     flagged = joined.withColumns(
         {
             "distance_meters": F.floor(meters + 0.5).cast("bigint"),
-            "exact_name": text.name_key(F.col("hit_name")) == F.col("own_name"),
+            "exact_name": F.col("hit_key") == F.col("own_name"),
             "address_match": same("road_address") | same("address"),
         }
     ).withColumn("coordinates_match", F.coalesce(F.col("distance_meters") <= max_meters, F.lit(False)))

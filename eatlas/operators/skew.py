@@ -10,7 +10,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of one key that a single task takes without trouble.
@@ -22,6 +22,12 @@ MAX_HOT_KEYS = 10_000
 NULL_KEY_SPREAD = 1_000
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns behind a generator, which the optimizer does not
+    look through: filters on them do not make Spark compute them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with too many rows for one task: (keys..., _salts), at most 10,000."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_task)
@@ -39,16 +45,19 @@ def salted_join(
     how: str = "inner",
     spread: str = "ord",
     rows_per_task: int | None = ROWS_PER_TASK,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` (hot keys possible) with ``few`` (few rows per key).
 
     ``spread`` is a column of ``many`` that differs between rows of one key;
     its hash picks the salt, so a re-run task gives the same salts.
     ``rows_per_task=None`` says that no key can be hot (see ``salting``).
+    Hot keys are counted on ``counted`` (default ``many``): a cheaper table
+    with the same keys, if ``many`` is costly to compute.
     """
     if rows_per_task is None:
         return many.join(few, on, how)
-    hot = F.broadcast(hot_keys(many, on, rows_per_task))
+    hot = F.broadcast(hot_keys(many if counted is None else counted, on, rows_per_task))
     no_key = F.lit(False)
     for key in on:
         no_key = no_key | F.col(key).isNull()
