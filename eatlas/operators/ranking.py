@@ -162,7 +162,7 @@ def nearest_to_targets(
 
     def choose(chosen: Column, target: Column) -> Column:
         free = F.filter(target["options"], lambda o: ~F.exists(chosen, lambda c: c["id"] == o["id"]))
-        pick = free[0]
+        pick = F.get(free, F.lit(0))
         return F.concat(
             chosen,
             F.array(
