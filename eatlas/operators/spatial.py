@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from .skew import ROWS_PER_TASK, hot_keys
 
-# Cells of a join are finer than the stored tiles: most radii are a few km.
-JOIN_CELL_DEGREES = 0.05
+# Cells of a join are finer than the stored tiles: most radii are a few km, and
+# a request is repeated for each cell it may reach (about 30 at 20 km).
+JOIN_CELL_DEGREES = 0.1
 
 
 def covering_cells(df: DataFrame, radius: Column, degrees: float, true_latitude: Column | None = None) -> DataFrame:

@@ -70,9 +70,9 @@ def test_search_texts_and_links(spark):
     schema = "n string, p string"
     got = values(spark, [("하나", "인천"), ("하나", ""), ("", None)], text.search_queries(F.col("n"), F.col("p")), schema)
     assert got == [["하나 인천", "하나"], ["하나"], []]
-    link = text.map_link(F.col("u"), F.col("i"), F.col("n"), F.lit("중구"))
+    link = text.map_link(F.col("u"), F.col("pid"), F.col("n"), F.lit("중구"))
     rows = [("https://x", "1", "n"), (None, "7", "n"), (None, None, "a b(c)")]
-    assert values(spark, rows, link, "u string, i string, n string") == [
+    assert values(spark, rows, link, "u string, pid string, n string") == [
         "https://x", "https://map.kakao.com/link/map/7",
         "https://map.kakao.com/?q=a%20b(c)%20%EC%A4%91%EA%B5%AC",
     ]
