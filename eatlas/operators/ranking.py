@@ -63,8 +63,8 @@ def evenly_spaced(df: DataFrame, order: str, count: int) -> DataFrame:
 
 # Half-width of the rank window searched around a percentile, and the sketch
 # accuracy behind it (its rank error is at most 1 / accuracy).
-_RANK_MARGIN = 0.005
-_SKETCH_ACCURACY = 1_000
+_RANK_MARGIN = 0.0005
+_SKETCH_ACCURACY = 10_000
 
 
 def nearest_rank(ratio: float, count: Column) -> Column:
@@ -76,7 +76,7 @@ def exact_at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, tu
 
     ``ranks`` maps an output column to (ratio, 1-based rank from column ``n``).
     A quantile sketch bounds where each rank lies; only the distinct values
-    inside the bounds, about one percent, are ordered.
+    inside the bounds, about a thousandth, are ordered.
     """
     if not by:
         whole = exact_at_ranks(df.withColumn("_g", F.lit(0)), ["_g"], value, ranks)
