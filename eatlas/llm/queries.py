@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, simhash, suffix_dedup
+from . import line_dedup, simhash, suffix_dedup, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.span_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query(
     "op9_line_dedup",
     r"""
