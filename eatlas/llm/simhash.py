@@ -38,7 +38,7 @@ _PIECE = 1 << 20
 _FRONTIER = 1 << 20
 
 
-def _word_runs(text: bytes, size: int) -> Iterator[list[bytes]]:
+def word_runs(text: bytes, size: int) -> Iterator[list[bytes]]:
     """Words of a text, a bounded piece at a time; pieces overlap by ``size`` - 1 words."""
     carry: list[bytes] = []
     start = 0
@@ -59,7 +59,7 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     """64-bit SimHash of the ``size``-word shingles, repeats included."""
     ones, total = np.zeros(64, np.int64), 0
     digest = xxhash.xxh64_digest
-    for words in _word_runs(text or b"", size):
+    for words in word_runs(text or b"", size):
         n = len(words)
         if n < size:
             # Fewer words than a shingle: the whole sequence, if nothing was hashed before.
