@@ -30,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -343,7 +344,7 @@ def snippet_rows(found: Snippets) -> Iterator[tuple]:
             bytes(c[0] for c in content),
             np.array([len(c) - 1 for c in content], "<u4").tobytes(),
             found.least[chosen].astype("<i8").tobytes(),
-            b"".join(c[1:] for c in content),
+            zstandard.compress(b"".join(c[1:] for c in content), 3),
         )
 
 
@@ -354,7 +355,7 @@ def flagged_starts(rows: list[dict], span: int) -> Iterator[tuple[int, bytes, by
     entry_owner, entry_number, entry_least, entry_known = [], [], [], []
     for owner, row in enumerate(rows):
         ends = np.cumsum(np.frombuffer(row["length"], "<u4").astype(np.int64)).tolist()
-        content, starts = row["content"], row["starts"]
+        content, starts = zstandard.decompress(row["content"]), row["starts"]
         at, mine = 0, []
         for end, count in zip(ends, starts, strict=True):
             mine.append(known.setdefault((count, content[at:end]), len(known)))
