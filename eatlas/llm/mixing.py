@@ -152,13 +152,14 @@ def drawn_blocks(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     tickets = materialize(running_sums(wanted, ["_all"], [F.col(c) for c in _SOURCE], {"_ticket": "_slots"}))
     total = tickets.agg(F.sum("_slots")).first()[0] or 0
     spark = targets.sparkSession
-    # Each slot draws a ticket; counts by shard and source are multinomial.
+    # Each slot draws a ticket; counts by shard and source are multinomial. Spark takes
+    # exploded ranges for as small as their sources, hence the hints against a broadcast.
     ticket = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("_ticket")
     draws = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), ticket)
     owners = tickets.where("_slots > 0").select(
         *_SOURCE, F.explode(F.sequence(F.col("_ticket").cast("bigint"), (F.col("_ticket") + F.col("_slots") - 1).cast("bigint"))).alias("_ticket")
     )
-    counts = draws.join(owners, "_ticket").groupBy("shard", *_SOURCE).agg(F.count(F.lit(1)).alias("_count"))
+    counts = draws.join(owners.hint("merge"), "_ticket").groupBy("shard", *_SOURCE).agg(F.count(F.lit(1)).alias("_count"))
     numbered = materialize(running_sums(counts, _SOURCE, [F.col("shard")], {"_first": "_count"}))
     # What a source drew beyond its slots goes to those that drew too few.
     drew = numbered.groupBy(*_SOURCE).agg(F.sum("_count").alias("_drew"))
@@ -184,7 +185,7 @@ def drawn_blocks(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
         "_under_before",
     )
     short = short.withColumn("_e", (F.col("_under_before") + F.col("_k")).cast("bigint"))
-    given = spare.withColumn("_e", F.col("_e").cast("bigint")).join(short, "_e").select(*_SOURCE, "shard", "_blocks", "_n")
+    given = spare.withColumn("_e", F.col("_e").cast("bigint")).join(short.hint("merge"), "_e").select(*_SOURCE, "shard", "_blocks", "_n")
     slots = own.unionByName(given).withColumn("pass", F.floor(F.col("_n") / F.col("_blocks")))
     key = F.xxhash64("_none", "_name", "pass", F.lit(seed))
     index = _permuted(F.pmod(F.col("_n"), F.col("_blocks")), F.col("_blocks").cast("bigint"), key)
@@ -219,7 +220,7 @@ def mix_digest(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLO
     stored, placed = _placed(docs)
     targets = materialize(source_targets(stored))
     times = drawn_blocks(targets, block, shard_slots, seed).groupBy(*_SOURCE, "block").agg(F.count(F.lit(1)).alias("_times"))
-    pieces = word_pieces(placed, block).join(times, [*_SOURCE, "block"])
+    pieces = word_pieces(placed, block).join(times.hint("merge"), [*_SOURCE, "block"])
     used = pieces.groupBy(*_SOURCE, "_start").agg(F.sum(F.col("_words") * F.col("_times")).alias("taken"))
     # A document with words is known by its place in its source.
     rows = placed.withColumn("_start", F.when(F.col("size") > 0, F.col("_start"))).join(used, [*_SOURCE, "_start"], "left")
@@ -256,7 +257,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     stored, placed = _placed(docs, version, distinct=True)
     targets = materialize(source_targets(stored))
     slots = drawn_blocks(targets, block, shard_slots, seed)
-    pieces = word_pieces(placed, block).join(slots, [*_SOURCE, "block"])
+    pieces = word_pieces(placed, block).join(slots.hint("merge"), [*_SOURCE, "block"])
     # As many ranges as the document has blocks.
     taken = pieces.groupBy("doc_id", "_version", *_SOURCE, "pass", "size").agg(
         F.collect_list("_from").alias("_at"), F.collect_list("_words").alias("_long"), F.sum("_words").alias("_sum")
@@ -274,7 +275,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
         & (F.col("source").isNull() == F.col("_m__none"))
         & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_m__name"))
     )
-    joined = docs.join(taken, same)
+    joined = docs.join(taken.hint("merge"), same)
     part = F.col("_m__sum") < F.col("_m_size")
     rows = joined.withColumn("_cut", cut(F.when(part, F.col("text")), "_m__at", "_m__long"))
     return rows.withColumn("text", F.when(part, F.col("_cut")).otherwise(F.col("text"))).select(*docs.columns)
