@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import materialize
@@ -78,22 +78,29 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def _version() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) of every document; a null or empty text has fingerprint 0."""
+    """(doc_id, version, fp) of every document; a null or empty text has fingerprint 0.
+
+    ``version`` is a hash of the text, which tells rows of one doc_id apart.
+    """
 
     def run(batches):
         out = RowBuffer(_FINGERPRINTS)
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
+        for doc_id, version, text in rows_of(batches, "doc_id", "version", "text"):
             value = fingerprint(text, size)
-            if out.add(doc_id, value - (1 << 64) if value >> 63 else value):
+            if out.add(doc_id, version, value - (1 << 64) if value >> 63 else value):
                 yield from out.flush()
         yield from out.flush()
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, fp bigint")
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _version().alias("version"), text_bytes().alias("text"))
+    return narrow.mapInArrow(run, "doc_id bigint, version bigint, fp bigint")
 
 
 def _patterns() -> list[tuple[list[tuple[int, int]], int]]:
@@ -250,6 +257,19 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from linked([np.concatenate(c) for c in zip(*pending, strict=True)])
 
 
+def _grouped(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, version, fp, component_id) of every row."""
+    stored = materialize(fingerprints(docs, size))
+    classes = materialize(stored.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    sharded = classes.where("rep is not null").mapInArrow(_shard, "root int, prefix bigint, rank bigint, rep bigint")
+    links = sharded.repartition("root", "prefix").sortWithinPartitions("root", "rank").mapInArrow(_link, "a bigint, b bigint")
+    found = components(links)
+    named = classes.join(found, classes.rep == found.node, "left").select(
+        "fp", F.coalesce("component", "rep").alias("component_id")
+    )
+    return stored.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -259,14 +279,19 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     but never names one (null if only such rows share it). Repeated rows come
     back as often as they went in. Other columns are ignored.
     """
-    stored = materialize(fingerprints(docs, size))
-    classes = materialize(stored.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    sharded = classes.where("rep is not null").mapInArrow(_shard, "root int, prefix bigint, rank bigint, rep bigint")
-    links = sharded.repartition("root", "prefix").sortWithinPartitions("root", "rank").mapInArrow(_link, "a bigint, b bigint")
-    found = components(links)
-    named = classes.join(found, classes.rep == found.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return stored.join(named, "fp").select(
+    return _grouped(docs, size).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, that of the smallest doc_id; all columns stay.
+
+    Rows without doc_id stay. Of rows that share doc_id and text one stays.
+    """
+    groups = _grouped(docs.where("doc_id is not null"), size)
+    kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "version")).alias("_kept"))
+    kept = kept.select(F.col("_kept.doc_id").alias("_doc"), F.col("_kept.version").alias("_version"))
+    known = docs.where("doc_id is not null").withColumns({"_doc": F.col("doc_id").cast("bigint"), "_version": _version()})
+    chosen = known.join(kept, ["_doc", "_version"]).dropDuplicates(["_doc", "_version"])
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
