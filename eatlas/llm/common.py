@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import shared_folder
 
-# Names that the operators add; an input column of such a name is not read.
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,6 +20,16 @@ def text_bytes(text: str = "text") -> Column:
     return F.col(text).cast("binary")
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Whole rows of ``docs`` in one column _row, so that no name clashes, beside ``columns``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns ``names`` of _row, with those in ``changed`` replaced."""
+    return rows.select(*[(changed[n] if n in changed else F.col("_row")[n]).alias(n) for n in names])
+
+
 def blocks_for(df: DataFrame, amount: Column, per_block: int) -> int:
     """How many blocks of ``per_block`` hold the sum of ``amount``; at least one."""
     total = df.agg(F.sum(amount)).first()[0]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowBuffer, record_batch, rows_of, text_bytes, with_checkpoints
+from .common import RowBuffer, packed, record_batch, rows_of, text_bytes, unpacked, with_checkpoints
 
 MIN_POINTS = 20
 MIN_DOCUMENTS = 3
@@ -202,12 +202,12 @@ def keep_bitmaps(docs: DataFrame, points: int = MIN_POINTS, documents: int = MIN
 
 
 def _with_bitmaps(docs: DataFrame, points: int, documents: int) -> DataFrame:
-    """Rows of ``docs`` with the bitmap of their lines in ``_bitmap``; null where all stay."""
+    """Packed rows of ``docs`` with the bitmap of their lines in ``_bitmap``; null where all stay."""
     bitmaps = keep_bitmaps(docs, points, documents).select(
         F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("bitmap").alias("_bitmap")
     )
-    left = docs.withColumns({"_doc": F.col("doc_id").cast("bigint"), "_version": _version()})
-    return left.join(bitmaps, ["_doc", "_version"], "left").drop("_doc", "_version")
+    left = packed(docs, _doc=F.col("doc_id").cast("bigint"), _version=_version())
+    return left.join(bitmaps, ["_doc", "_version"], "left")
 
 
 def _kept(text: bytes, mask: np.ndarray) -> bytes:
@@ -229,9 +229,10 @@ def drop_repeated_lines(docs: DataFrame, points: int = MIN_POINTS, documents: in
 
     marked = _with_bitmaps(docs, points, documents)
     loses = F.col("_bitmap").isNotNull()
-    only = F.when(loses, F.coalesce("text", F.lit("")).cast("binary"))
+    text = F.col("_row.text")
+    only = F.when(loses, F.coalesce(text, F.lit("")).cast("binary"))
     short = marked.withColumn("_short", shortened(only, "_bitmap"))
-    return short.withColumn("text", F.when(loses, F.col("_short")).otherwise(F.col("text"))).select(*docs.columns)
+    return unpacked(short, docs.columns, text=F.when(loses, F.col("_short")).otherwise(text))
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
@@ -256,5 +257,5 @@ def line_digest(docs: DataFrame, points: int = MIN_POINTS, documents: int = MIN_
         yield from out.flush()
 
     marked = _with_bitmaps(docs.select("doc_id", "text"), points, documents)
-    narrow = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"), "_bitmap")
+    narrow = marked.select(F.col("_doc").alias("doc_id"), text_bytes("_row.text").alias("text"), "_bitmap")
     return narrow.mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import LongType
 
 from ..operators.skew import materialize
-from .common import text_bytes
+from .common import packed, text_bytes, unpacked
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -269,13 +269,15 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
         return pd.Series(values, dtype=object)
 
     taken = taken.withColumnsRenamed({c: f"_m_{c}" for c in taken.columns})
+    rows = packed(docs, _id=F.col("doc_id").cast("bigint"), _hash=F.xxhash64("text"), _empty=F.col("source").isNull(), _from=F.coalesce(F.col("source").cast("string"), F.lit("")))
     same = (
-        F.col("doc_id").cast("bigint").eqNullSafe(F.col("_m_doc_id"))
-        & (F.xxhash64("text") == F.col("_m__version"))
-        & (F.col("source").isNull() == F.col("_m__none"))
-        & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_m__name"))
+        F.col("_id").eqNullSafe(F.col("_m_doc_id"))
+        & (F.col("_hash") == F.col("_m__version"))
+        & (F.col("_empty") == F.col("_m__none"))
+        & (F.col("_from") == F.col("_m__name"))
     )
-    joined = docs.join(taken.hint("merge"), same)
+    joined = rows.join(taken.hint("merge"), same)
     part = F.col("_m__sum") < F.col("_m_size")
-    rows = joined.withColumn("_cut", cut(F.when(part, F.col("text")), "_m__at", "_m__long"))
-    return rows.withColumn("text", F.when(part, F.col("_cut")).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.col("_row.text")
+    short = joined.withColumn("_cut", cut(F.when(part, text), "_m__at", "_m__long"))
+    return unpacked(short, docs.columns, text=F.when(part, F.col("_cut")).otherwise(text))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import materialize
-from .common import RowBuffer, record_batch, rows_of, text_bytes
+from .common import RowBuffer, packed, record_batch, rows_of, text_bytes, unpacked
 from .components import components
 
 MAX_DIFFERENCE = 2
@@ -292,6 +292,6 @@ def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     groups = _grouped(docs.where("doc_id is not null"), size)
     kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "version")).alias("_kept"))
     kept = kept.select(F.col("_kept.doc_id").alias("_doc"), F.col("_kept.version").alias("_version"))
-    known = docs.where("doc_id is not null").withColumns({"_doc": F.col("doc_id").cast("bigint"), "_version": _version()})
+    known = packed(docs.where("doc_id is not null"), _doc=F.col("doc_id").cast("bigint"), _version=_version())
     chosen = known.join(kept, ["_doc", "_version"]).dropDuplicates(["_doc", "_version"])
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return unpacked(chosen, docs.columns).unionByName(docs.where("doc_id is null"))
