@@ -68,7 +68,7 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def _encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def short(self, texts: list[str]) -> list[int]:
         """Counts of texts of at most a chunk each, by their pieces."""
