@@ -19,6 +19,7 @@ is the model's blank sign where a text has it, which keeps decoding lossless.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -37,10 +38,27 @@ TEMPERATURE = 1.0
 BATCH_CHARS = 1 << 21
 
 _BLANK = "▁"
-_NORMAL, _BYTE = 1, 6
 _CODES = np.uint64(1 << 21)
 
 
+_FREE = np.uint64((1 << 64) - 1)
+
+
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (size.bit_length() - 1))
+
+
+def _hashed(keys: np.ndarray, values: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in a table at least four times as large, each at its slot or the next free one after it."""
+    size = 1 << (4 * len(keys)).bit_length()
+    slots, found = np.full(size + len(keys), _FREE), np.zeros(size + len(keys), np.int32)
+    for key, slot, value in zip(keys, _slot(keys, size).tolist(), values, strict=True):
+        while slots[slot] != _FREE:
+            slot += 1
+        slots[slot], found[slot] = key, value
+    return slots, found
+
+
 class Vocabulary:
     """Pieces of a model as a trie over code points."""
 
@@ -70,10 +88,9 @@ class Vocabulary:
                 state = states.setdefault(name[:n], len(states))
                 edges[states[name[: n - 1]], ord(name[n - 1])] = state
             ends[states[name]] = i
-        keys = np.array([s * int(_CODES) + c for s, c in edges], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array(list(edges.values()), np.int64)[order]
-        self.piece = np.array([ends.get(s, -1) for s in range(len(states))], np.int64)
+        self.slots, self.next = _hashed(np.array([s * int(_CODES) + c for s, c in edges], np.uint64), list(edges.values()))
+        self.piece = np.array([ends.get(s, -1) for s in range(len(states))], np.int32)
+        self.size = 1 << (4 * len(edges)).bit_length()
         self.longest = max(len(name) for name, _ in normal)
         inner = {c for name, _ in normal for c in name.lstrip(" ")}
         if " " in inner:
@@ -81,6 +98,19 @@ class Vocabulary:
         # A line feed that no piece holds is a unit of its own.
         self.units = re.compile(r" +[^ \n]*|\n|[^ \n]+" if "\n" not in inner else r" +[^ ]*|[^ ]+")
 
+    def follow(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states go on with their code point, and to which states."""
+        keys = state.astype(np.uint64) * _CODES + codes
+        slot = _slot(keys, self.size)
+        there = self.slots[slot]
+        lost = np.flatnonzero((there != keys) & (there != _FREE))
+        while len(lost):
+            slot[lost] += np.uint64(1)
+            there[lost] = self.slots[slot[lost]]
+            lost = lost[(there[lost] != keys[lost]) & (there[lost] != _FREE)]
+        alive = there == keys
+        return alive, self.next[slot[alive]]
+
 
 @cache
 def vocabulary(path: str, temperature: float = TEMPERATURE) -> Vocabulary:
@@ -92,31 +122,30 @@ class Lattice(NamedTuple):
 
     first: np.ndarray  # first node of each unit
     last: np.ndarray  # last node of each unit
-    upto: np.ndarray  # end node + cumulated chance of each edge
+    head: np.ndarray  # first edge of each node
+    upto: np.ndarray  # cumulated chance of each edge within its end node
     start: np.ndarray  # node an edge starts from
     piece: np.ndarray  # piece of an edge, or minus the code point spelt in bytes
 
 
 def _walk(vocab: Vocabulary, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, length, piece) of every piece found in the text."""
-    at = np.arange(len(codes))
-    state = np.zeros(len(codes), np.int64)
+    at = np.arange(len(codes), dtype=np.int32)
+    state = np.zeros(len(codes), np.int32)
     found: list[tuple] = []
     for length in range(1, vocab.longest + 1):
         fits = room[at] >= length
         at, state = at[fits], state[fits]
-        key = state.astype(np.uint64) * _CODES + codes[at + length - 1]
-        place = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
-        alive = vocab.keys[place] == key
-        at, state = at[alive], vocab.next[place[alive]]
+        alive, state = vocab.follow(state, codes[at + (length - 1)])
+        at = at[alive]
         piece = vocab.piece[state]
         real = piece >= 0
-        found.append((at[real], np.full(int(real.sum()), length), piece[real]))
+        found.append((at[real], np.full(int(real.sum()), length, np.int32), piece[real]))
         if length == 1:
             lone = np.ones(len(codes), bool)
             lone[at[real]] = False
-            spelt = np.flatnonzero(lone)
-            found.append((spelt, np.ones(len(spelt), np.int64), -codes[spelt].astype(np.int64) - 1))
+            spelt = np.flatnonzero(lone).astype(np.int32)
+            found.append((spelt, np.ones(len(spelt), np.int32), -codes[spelt].astype(np.int32) - 1))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -127,19 +156,21 @@ def _utf8_length(codes: np.ndarray) -> np.ndarray:
 def lattice(vocab: Vocabulary, units: list[str]) -> Lattice:
     """Forward filtering of distinct units: the chance of each edge given the node it ends in."""
     codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, units), np.int64, len(units))
-    begin = np.cumsum(size) - size
-    offset = np.arange(len(codes)) - np.repeat(begin, size)
+    size = np.fromiter(map(len, units), np.int32, len(units))
+    begin = np.cumsum(size, dtype=np.int32) - size
+    offset = np.arange(len(codes), dtype=np.int32) - np.repeat(begin, size)
     at, length, piece = _walk(vocab, codes, np.repeat(size, size) - offset)
     # A unit has one node more than characters.
-    unit = np.repeat(np.arange(len(units)), size)
+    unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
     start = at + unit[at]
-    end = start + length
-    weight = np.where(piece >= 0, vocab.weight[np.maximum(piece, 0)], vocab.byte_weight * _utf8_length(-piece - 1))
-    order = np.argsort(end, kind="stable")
-    start, end, piece, weight, level = start[order], end[order], piece[order], weight[order], (offset[at] + length)[order]
+    weight = vocab.weight[np.maximum(piece, 0)]
+    spelt = np.flatnonzero(piece < 0)
+    weight[spelt] = vocab.byte_weight * _utf8_length(-piece[spelt] - 1)
+    level = (offset[at] + length).astype(np.uint16 if size.max(initial=0) < 1 << 16 else np.int32)
+    order = np.argsort(start + length, kind="stable")
+    start, piece, weight, level, end = start[order], piece[order], weight[order], level[order], (start + length)[order]
+    first = begin + np.arange(len(units), dtype=np.int32)
     total = np.full(len(codes) + len(units), -np.inf)
-    first = begin + np.arange(len(units))
     total[first] = 0.0
     by_level = np.argsort(level, kind="stable")
     cuts = np.searchsorted(level[by_level], np.arange(1, int(size.max(initial=0)) + 2))
@@ -150,11 +181,13 @@ def lattice(vocab: Vocabulary, units: list[str]) -> Lattice:
         total[nodes[heads]] = np.logaddexp.reduceat(total[start[edges]] + weight[edges], heads)
     chance = np.exp(total[start] + weight - total[end])
     heads = np.flatnonzero(np.append(True, end[1:] != end[:-1])) if len(end) else np.zeros(0, np.int64)
-    summed = np.cumsum(chance)
-    before = np.repeat(summed[heads] - chance[heads], np.diff(np.append(heads, len(end))))
-    upto = end + np.minimum(summed - before, 1.0)
-    upto[np.append(heads[1:], len(end))[: len(heads)] - 1] = end[heads] + 1.0
-    return Lattice(first, first + size, upto, start, piece)
+    tails = np.append(heads[1:], len(end))[: len(heads)]
+    upto = np.cumsum(chance)
+    upto -= np.repeat(upto[heads] - chance[heads], tails - heads)
+    upto[tails - 1] = 1.0
+    head = np.zeros(len(total), np.int32)
+    head[end[heads]] = heads
+    return Lattice(first, first + size, head, upto, start, piece)
 
 
 def _uniform(key: np.ndarray, number: np.ndarray, step: int) -> np.ndarray:
@@ -174,7 +207,12 @@ def sampled(found: Lattice, unit: np.ndarray, key: np.ndarray, number: np.ndarra
     taken: list[tuple] = []
     step = 0
     while len(active):
-        chosen = np.searchsorted(found.upto, node + _uniform(key[active], number[active], step), "right")
+        draw = _uniform(key[active], number[active], step)
+        chosen = found.head[node]
+        beyond = np.flatnonzero(draw >= found.upto[chosen])
+        while len(beyond):  # at most as often as a node has edges
+            chosen[beyond] += 1
+            beyond = beyond[draw[beyond] >= found.upto[chosen[beyond]]]
         taken.append((active, chosen))
         node = found.start[chosen]
         rest = node > found.first[unit[active]]
@@ -196,9 +234,10 @@ def _spelt(vocab: Vocabulary, codes: np.ndarray) -> list[np.ndarray]:
 def encode(vocab: Vocabulary, texts: list[str], keys: np.ndarray, ahead: np.ndarray) -> list[np.ndarray]:
     """Piece ids of each text. ``ahead`` counts the units before the text, if it is a later segment."""
     split = [vocab.units.findall(t) for t in texts]
-    numbers: dict[str, int] = {}
-    unit = np.fromiter((numbers.setdefault(u, len(numbers)) for units in split for u in units), np.int64)
     count = np.array([len(units) for units in split], np.int64)
+    flat = list(itertools.chain.from_iterable(split))
+    numbers = {u: i for i, u in enumerate(dict.fromkeys(flat))}
+    unit = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
     text = np.repeat(np.arange(len(texts)), count)
     number = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count) + ahead[text]
     found = lattice(vocab, list(numbers))
@@ -211,10 +250,10 @@ def encode(vocab: Vocabulary, texts: list[str], keys: np.ndarray, ahead: np.ndar
         length = np.ones(len(piece), np.int64)
         length[spelt] = [len(p) for p in parts]
         begin = np.cumsum(length) - length
-        flat = np.repeat(piece, length)
+        longer = np.repeat(piece, length)
         place = np.repeat(begin[spelt], length[spelt]) + np.concatenate([np.arange(len(p)) for p in parts])
-        flat[place] = np.concatenate(parts)
-        piece, owner = flat, np.repeat(owner, length)
+        longer[place] = np.concatenate(parts)
+        piece, owner = longer, np.repeat(owner, length)
     return np.split(piece.astype(np.int32), np.searchsorted(owner, np.arange(1, len(texts))))
 
 
