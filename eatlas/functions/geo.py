@@ -41,6 +41,12 @@ def longitude_span(latitude: Column, meters: Column) -> Column:
     return latitude_span(meters) / F.greatest(F.cos(F.radians(edge)), F.lit(0.01))
 
 
+def longitude_reach(latitude: Column, meters: Column) -> Column:
+    """Like ``longitude_span``, and all longitudes for a circle close to a pole."""
+    edge = F.abs(latitude) + latitude_span(meters)
+    return F.when(edge > 89.0, F.lit(180.0)).otherwise(F.least(longitude_span(latitude, meters), F.lit(180.0)))
+
+
 def tile_index(coordinate: Column, degrees: float = V.TILE_DEGREES, offset: float = V.TILE_OFFSET) -> Column:
     return F.floor((coordinate - offset) / degrees).cast("bigint")
 

@@ -9,7 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import menus, text
 from ..functions.verification import has_place_id, is_checked_unverified, is_confirmed
 from . import dedup
-from .skew import computed_once, salted_join
+from .skew import computed_once
 from .snapshot import _side_by_side
 
 
@@ -44,7 +44,7 @@ def duplicate_key_members(df: DataFrame, key: Column, columns: list[Column], spr
     groups = (
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
     )
-    return salted_join(keyed, groups, ["key"], "inner", "_spread").drop("_spread")
+    return keyed.join(groups, ["key"], "inner").drop("_spread")
 
 
 def name_address(df_name: str = "name", df_address: str = "address") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import geo, menus, rules, text
-from .skew import ROWS_PER_TASK, computed_once, materialize, salted_join, salting
+from .skew import computed_once, materialize
 from .snapshot import last_by_id
 
 # Menu rows of one place that one task concatenates at a time.
@@ -84,7 +84,7 @@ def _tier_keys(rows: DataFrame) -> DataFrame:
     return parts.select("ord", F.inline(F.array(*tiers))).where(F.col("key").isNotNull())
 
 
-def find_existing(rows: DataFrame, existing: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
+def find_existing(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Existing record of each row: (ord, existing_ord, tier).
 
     Four keys are tried in turn; a key shared by several existing records
@@ -99,7 +99,7 @@ def find_existing(rows: DataFrame, existing: DataFrame, rows_per_task: int | Non
         .drop("n")
     )
     asked = _tier_keys(rows)
-    hits = salted_join(asked, known, ["tier", "key"], "inner", "ord", rows_per_task)
+    hits = asked.join(known, ["tier", "key"], "inner")
     best = F.min(F.struct("tier", "existing_ord")).alias("best")
     return hits.groupBy("ord").agg(best).select("ord", "best.existing_ord", "best.tier")
 
@@ -107,9 +107,7 @@ def find_existing(rows: DataFrame, existing: DataFrame, rows_per_task: int | Non
 _LOCATION = ("latitude", "longitude", "place_id", "place_url", "verification")
 
 
-def locate(
-    rows: DataFrame, existing: DataFrame, geocode_cache: DataFrame, rows_per_task: int | None = ROWS_PER_TASK
-) -> DataFrame:
+def locate(rows: DataFrame, existing: DataFrame, geocode_cache: DataFrame) -> DataFrame:
     """Rows with id and position from the existing record or the geocode cache.
 
     Adds ``origin``: preserved, geocoded or skipped (no position known). An
@@ -118,14 +116,13 @@ def locate(
     ``geocode_cache``: source_key and the location columns.
     """
     keyed = materialize(with_source_key(rows))
-    rows_per_task = salting(keyed, rows_per_task) if rows_per_task else None
-    hits = materialize(find_existing(keyed, existing, rows_per_task).select("ord", "existing_ord"))
+    hits = materialize(find_existing(keyed, existing).select("ord", "existing_ord"))
     old = existing.select(
         F.col("ord").alias("existing_ord"), F.col("id").alias("_id"), *[F.col(c).alias(f"_old_{c}") for c in _LOCATION]
     )
     cache = geocode_cache.select("source_key", F.lit(True).alias("_cached"), *[F.col(c).alias(f"_new_{c}") for c in _LOCATION])
     # Many rows may continue one record; source keys are unique on both sides.
-    lent = salted_join(hits, old, ["existing_ord"], "inner", "ord", rows_per_task)
+    lent = hits.join(old, ["existing_ord"], "inner")
     joined = keyed.join(lent, "ord", "left").join(cache, "source_key", "left")
     is_old = F.col("_id").isNotNull()
     origin = F.when(is_old, "preserved").when(F.col("_cached"), "geocoded").otherwise("skipped")

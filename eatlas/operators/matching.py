@@ -9,7 +9,6 @@ from ..functions import fixed_values as V
 from ..functions import geo, text
 from ..functions.verification import is_confirmed
 from .ranking import distributed_row_number
-from .skew import ROWS_PER_TASK, salted_join
 
 
 def best_place_hits(
@@ -17,7 +16,6 @@ def best_place_hits(
     hits: DataFrame,
     max_meters: float = V.PLACE_HIT_MAX_METERS,
     name_only_meters: float = V.PLACE_HIT_NAME_ONLY_METERS,
-    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Best hit per place: same name, food or cafe, near enough.
 
@@ -50,7 +48,7 @@ def best_place_hits(
         (F.col("hit_road") == F.col("own_address")) | (F.col("hit_address") == F.col("own_address"))
     )
     joined = (
-        salted_join(usable, wanted, ["id"], "inner", "hit_ord", rows_per_task)
+        usable.join(wanted, ["id"], "inner")
         .withColumn("exact", exact)
         .where((F.col("hit_name") == F.col("own_name")) & (F.col("exact") | (F.col("distance_meters") <= name_only_meters)))
     )
@@ -125,7 +123,6 @@ def evaluate_local_hits(
     places: DataFrame,
     hits: DataFrame,
     max_meters: float = V.LOCAL_HIT_MAX_METERS,
-    rows_per_task: int | None = ROWS_PER_TASK,
     numeric_entities: bool = True,
 ) -> DataFrame:
     """Every local-search hit with the signals that speak for its place.
@@ -162,7 +159,7 @@ def evaluate_local_hits(
         F.col("longitude").alias("own_longitude"),
     )
     cleaned = cleaned.withColumn("hit_key", text.name_key(F.col("hit_name")))
-    joined = salted_join(cleaned, own, ["id"], "inner", "hit_ord", rows_per_task, hits.select(F.col("restaurant_id").alias("id")))
+    joined = cleaned.join(own, ["id"])
     meters = geo.distance_meters(
         F.col("own_latitude"), F.col("own_longitude"), F.col("hit_latitude"), F.col("hit_longitude")
     )

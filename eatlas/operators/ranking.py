@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from ..functions import fixed_values as V
 from ..functions import geo
 from ..functions.verification import is_confirmed
-from .skew import materialize, salted_join
+from .skew import materialize
 
 
 def distributed_row_number(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -61,66 +61,49 @@ def evenly_spaced(df: DataFrame, order: str, count: int) -> DataFrame:
     return df.join(chosen.select(order), order, "left_semi")
 
 
-# Half-width of the rank window searched around a percentile, and the sketch
-# accuracy behind it (its rank error is at most 1 / accuracy).
-_RANK_MARGIN = 0.0005
-_SKETCH_ACCURACY = 10_000
-
-
 def nearest_rank(ratio: float, count: Column) -> Column:
     return F.greatest(F.lit(1), F.least(count, F.ceil(count * ratio))).cast("bigint")
 
 
+def running_totals(df: DataFrame, keys: list[str], order: list[Column], value: str, upto: str, total: str) -> DataFrame:
+    """Adds the sum of ``value`` up to each row of its group, by ``order``, and over the whole group.
+
+    Range-partitioned on keys and order together, so a hot group spreads over
+    many tasks; sums of other partitions come from a table with one row per key
+    and partition.
+    """
+    stored = materialize(
+        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    )
+    sums = stored.groupBy(*keys, "_part").agg(F.sum(value).alias("_s"))
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    others = sums.select(*keys, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(group).alias("_total"))
+    inside = W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = stored.withColumn("_inside", F.sum(value).over(inside))
+    same = F.lit(True)
+    for key in [*keys, "_part"]:
+        same = same & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    return (
+        summed.alias("a")
+        .join(others.alias("b"), same)
+        .select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_inside") + F.col("_before")).alias(upto), F.col("_total").alias(total))
+    )
+
+
 def exact_at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
     """Exact values at given ranks per group, without sorting whole groups.
 
-    ``ranks`` maps an output column to (ratio, 1-based rank from column ``n``).
-    A quantile sketch bounds where each rank lies; only the distinct values
-    inside the bounds, about a thousandth, are ordered.
+    ``ranks`` maps an output column to (ratio, 1-based rank from column ``n``,
+    the group's number of values). Equal values are counted first, in one scan;
+    the counts are summed in order over a range partitioning, and the first
+    value whose sum reaches a rank is the one at it.
     """
-    if not by:
-        whole = exact_at_ranks(df.withColumn("_g", F.lit(0)), ["_g"], value, ranks)
-        return whole.drop("_g")
-    names = list(ranks)
-    bounds = [
-        min(max(ranks[n][0] + sign * _RANK_MARGIN, 0.0), 1.0) for n in names for sign in (-1, 1)
-    ]
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", bounds, _SKETCH_ACCURACY).alias("_q"),
-    )
-    window = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                ranks[name][1].alias("rank"),
-                (F.col("_min") if bounds[2 * i] == 0.0 else F.col("_q")[2 * i]).alias("low"),
-                (F.col("_max") if bounds[2 * i + 1] == 1.0 else F.col("_q")[2 * i + 1]).alias("high"),
-            )
-            for i, name in enumerate(names)
-        ]
-    )
-    windows = sketch.select(*by, window.alias("_w"))
     counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    searched = salted_join(counts, windows, by, "inner", "_v").select(*by, "_v", "_c", F.explode("_w").alias("w"))
-    group = [*by, "w"]
-    below = searched.groupBy(*group).agg(
-        F.sum(F.when(F.col("_v") < F.col("w.low"), F.col("_c")).otherwise(0)).alias("_below")
-    )
-    inside = searched.where(F.col("_v").between(F.col("w.low"), F.col("w.high")))
-    running = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    reached = (
-        inside.withColumn("_upto", F.sum("_c").over(running))
-        .join(below, group)
-        .where(F.col("_upto") + F.col("_below") >= F.col("w.rank"))
-        .groupBy(*by, F.col("w.name").alias("name"))
-        .agg(F.min("_v").alias("value"))
-    )
-    return reached.groupBy(*by).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
+    summed = running_totals(counts, by, [F.col("_v")], "_c", "_upto", "n")
+    return summed.groupBy(*by).agg(
+        *[F.min(F.when(F.col("_upto") >= rank, F.col("_v"))).alias(name) for name, (_, rank) in ranks.items()]
     )
 
 

@@ -1,26 +1,17 @@
-"""Joins that survive hot keys, and tables that cut lineage.
+"""Expressions computed once, and stored tables that cut lineage.
 
-One key may hold a third of all rows. ``salted_join`` spreads the rows of such
-keys over many tasks and repeats the (small) other side's rows for them.
+Joins of many rows with one row per key are left to Spark: adaptive skew joins
+split the partition of a hot key on the side of the many rows, at any number of
+hot keys and without a list of them (see the README for the setting).
 """
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of one key that a single task takes without trouble.
-ROWS_PER_TASK = 1_000_000
-# The list of hot keys is broadcast, so it is bounded: a key that is not among
-# the largest 10,000 holds at most 1/10,000 of all rows.
-MAX_HOT_KEYS = 10_000
-# Rows without a key never join; they are only spread out.
-NULL_KEY_SPREAD = 1_000
-
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns behind a generator, which the optimizer does not
@@ -28,83 +19,25 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with too many rows for one task: (keys..., _salts), at most 10,000."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_task)
-    return (
-        counts.orderBy(F.col("_rows").desc())
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts"))
-    )
-
-
-def salted_join(
-    many: DataFrame,
-    few: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    spread: str = "ord",
-    rows_per_task: int | None = ROWS_PER_TASK,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``many`` (hot keys possible) with ``few`` (few rows per key).
-
-    ``spread`` is a column of ``many`` that differs between rows of one key;
-    its hash picks the salt, so a re-run task gives the same salts.
-    ``rows_per_task=None`` says that no key can be hot (see ``salting``).
-    Hot keys are counted on ``counted`` (default ``many``): a cheaper table
-    with the same keys, if ``many`` is costly to compute.
-    """
-    if rows_per_task is None:
-        return many.join(few, on, how)
-    hot = F.broadcast(hot_keys(many if counted is None else counted, on, rows_per_task))
-    no_key = F.lit(False)
-    for key in on:
-        no_key = no_key | F.col(key).isNull()
-    left = many.join(hot, on, "left").withColumn(
-        "_salt",
-        F.when(no_key, F.pmod(F.xxhash64(spread), F.lit(NULL_KEY_SPREAD)))
-        .when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_salts")))
-        .otherwise(F.lit(0))
-        .cast("int"),
-    )
-    right = few.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    )
-    joined = left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how)
-    return joined.drop("_salt")
-
-
-def salting(stored: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int | None:
-    """``rows_per_task``, or None when the whole stored table fits one task."""
-    return rows_per_task if stored.count() > rows_per_task else None
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it.
-
-    Only a local session, which has no other machines, may fall back to a
-    temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-    return _local_folder()
+    """Folder all executors can reach: the one the cluster names in
+    ``spark.checkpoint.dir``, else the warehouse, which they share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="eatlas-")
+def _stored(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/eatlas/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative jobs, and the result outlives lost executors.
+    What an application has written is deleted when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/eatlas/{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = f"{_stored(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

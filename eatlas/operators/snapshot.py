@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.verification import is_checked_unverified, is_confirmed
 from . import dedup
-from .skew import ROWS_PER_TASK
 
 # Column of the places table behind each compared field.
 _COLUMN_OF = {"kakaoPlaceId": "place_id", "kakaoPlaceUrl": "place_url", "placeVerification": "verification"}
@@ -84,13 +83,13 @@ def verification_counts(places: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
-def operational_counts(places: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def operational_counts(places: DataFrame) -> DataFrame:
     """What a build of confirmed places would serve, as one row."""
     confirmed = is_confirmed(F.col("place_id"), F.col("verification"))
     totals = places.agg(
         F.count_if(confirmed).alias("eligible"), F.count_if(~confirmed).alias("excluded")
     )
-    resolved = dedup.resolve(places.where(confirmed), rows_per_task=rows_per_task)
+    resolved = dedup.resolve(places.where(confirmed))
     first = F.col("ord") == F.col("cluster")
     merged = resolved.agg(
         F.count_if(first & (F.col("cluster_size") > 1)).alias("duplicate_groups"),

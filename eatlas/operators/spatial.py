@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .skew import ROWS_PER_TASK, hot_keys
+from .skew import materialize
 
-# Cells of a join are finer than the stored tiles: most radii are a few km, and
-# a request is repeated for each cell it may reach (about 30 at 20 km).
-JOIN_CELL_DEGREES = 0.1
+# The finest cells of a radius join; 2**FINEST of them go round the globe, and a
+# radius uses cells of twice that size as often as it takes to hold it.
+FINEST = 14
+# Requests and places of a cell that one task compares.
+ROWS_PER_BLOCK = 10_000
 
 
 def covering_cells(df: DataFrame, radius: Column, degrees: float, true_latitude: Column | None = None) -> DataFrame:
@@ -34,57 +36,100 @@ def own_cell(df: DataFrame, degrees: float) -> DataFrame:
     )
 
 
+def _level(radius: Column) -> Column:
+    """How often the finest cell is doubled before it is as large as the radius."""
+    cells = radius / (360.0 / 2**FINEST * geo.METERS_PER_DEGREE)
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(cells, F.lit(1.0)))), F.lit(0)), F.lit(FINEST - 1)).cast("int")
+
+
+def _cells_round() -> Column:
+    """Cells of this row's _level that go round the globe."""
+    return F.expr(f"shiftright({1 << FINEST}, _level)")
+
+
 def radius_join(
     requests: DataFrame,
     places: DataFrame,
     radius: str = "radius_meters",
-    degrees: float = JOIN_CELL_DEGREES,
     spread: str = "ord",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_block: int = ROWS_PER_BLOCK,
     positions: DataFrame | None = None,
 ) -> DataFrame:
     """All (request, place) pairs with distance <= the request's radius.
 
-    An equi-join on grid cells with the exact distance as residual. Both sides
-    need ``latitude`` and ``longitude``; the request's are renamed to
-    ``request_latitude`` and ``request_longitude``. Requests or places without
-    a position pair with nothing. Cells with very many places are split; they are counted
-    on ``positions`` (default: ``places``), any table with at least the same
-    points.
-    Longitudes do not wrap at 180 degrees.
+    An equi-join on grid cells with the exact distance as residual. Each radius
+    class has a grid of its own, so a request reaches about a dozen cells
+    whatever its radius. Both sides need ``latitude`` and ``longitude``; the
+    request's are renamed to ``request_latitude`` and ``request_longitude``.
+    Requests or places without a position pair with nothing.
+
+    Crowded cells are cut into blocks of requests and blocks of places, and
+    each pair of blocks is joined by itself. ``positions`` (default:
+    ``places``) may be any cheaper table with at least the same points to count
+    places on.
     """
-    located = requests.where(
-        geo.is_finite(F.col("latitude")) & geo.is_finite(F.col("longitude")) & (F.col(radius) >= 0) & geo.is_finite(F.col(radius))
+    located = lambda df: df.where(geo.is_finite(F.col("latitude")) & geo.is_finite(F.col("longitude")))
+    wide = F.col("longitude")
+    asked = (
+        located(requests)
+        .where((F.col(radius) >= 0) & geo.is_finite(F.col(radius)))
+        .withColumns(
+            {
+                "_level": _level(F.col(radius)),
+                "_span": geo.latitude_span(F.col(radius)),
+                "_width": geo.longitude_reach(F.col("latitude"), F.col(radius)),
+            }
+        )
     )
+    # At most FINEST levels.
+    levels = [r["_level"] for r in asked.select("_level").distinct().collect()]
+    size = 360.0 / _cells_round()
+    around = lambda j: F.pmod(j, _cells_round().cast("bigint"))
+    index = lambda c: F.floor(c / size).cast("bigint")
+    last = F.least(index(wide + F.col("_width")), index(wide - F.col("_width")) + _cells_round() - 1)
     wanted = (
-        covering_cells(located, F.col(radius), degrees)
-        .withColumn("_span", geo.latitude_span(F.col(radius)))
-        .withColumnRenamed("latitude", "request_latitude")
-        .withColumnRenamed("longitude", "request_longitude")
+        asked.withColumn("cell_i", F.explode(F.sequence(index(F.col("latitude") - F.col("_span")), index(F.col("latitude") + F.col("_span")))))
+        .withColumn("cell_j", F.explode(F.transform(F.sequence(index(wide - F.col("_width")), last), around)))
+        .withColumnsRenamed({"latitude": "request_latitude", "longitude": "request_longitude"})
     )
-    stored = own_cell(
-        places.where(geo.is_finite(F.col("latitude")) & geo.is_finite(F.col("longitude"))), degrees
-    )
-    cell = ["cell_i", "cell_j"]
-    counted = stored if positions is None else own_cell(positions.select("latitude", "longitude"), degrees)
-    hot = F.broadcast(hot_keys(counted, cell, rows_per_task))
-    wanted = wanted.join(hot, cell, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    )
-    stored = stored.join(hot, cell, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")
+    every_level = F.explode(F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>"))
+
+    def gridded(df: DataFrame) -> DataFrame:
+        own = located(df).withColumn("_level", every_level)
+        return own.withColumns({"cell_i": index(F.col("latitude")), "cell_j": around(index(wide))})
+
+    cell = ["_level", "cell_i", "cell_j"]
+    stored = gridded(places)
+    counted = stored if positions is None else gridded(positions.select("latitude", "longitude"))
+    blocks = lambda df, name: (
+        df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias(name)).where(F.col(name) > 1)
     )
+    # One row per rows_per_block rows at most; both sides read the same stored list.
+    crowded = materialize(blocks(wanted, "_asking").join(blocks(counted, "_offering"), cell, "full"))
+    one = F.lit(1)
+    mine = lambda rows, n: F.pmod(F.xxhash64(*rows), F.coalesce(F.col(n), one)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), one) - 1))
+    known = [c for c, kind in requests.dtypes if "map<" not in kind and c not in ("latitude", "longitude")]
+    wanted = wanted.join(F.broadcast(crowded), cell, "left").withColumn(
+        "_a", mine([*known, "request_latitude", "request_longitude"], "_asking")
+    ).withColumn("_o", all_of("_offering")).drop("_asking", "_offering")
+    stored = stored.join(F.broadcast(crowded), cell, "left").withColumn("_o", mine([spread], "_offering")).withColumn(
+        "_a", all_of("_asking")
+    ).drop("_asking", "_offering")
     distance = geo.distance_meters(
         F.col("request_latitude"), F.col("request_longitude"), F.col("latitude"), F.col("longitude")
     )
+    apart = F.abs(F.col("longitude") - F.col("request_longitude"))
     pairs = (
-        wanted.drop("_salts")
-        .join(stored.drop("_salts"), [*cell, "_salt"])
-        .where(F.abs(F.col("latitude") - F.col("request_latitude")) <= F.col("_span"))
+        wanted.join(stored, [*cell, "_a", "_o"])
+        .where(
+            (F.abs(F.col("latitude") - F.col("request_latitude")) <= F.col("_span"))
+            & (F.least(apart, 360.0 - apart) <= F.col("_width"))
+        )
         .withColumn("distance_meters", distance)
         .where(F.col("distance_meters") <= F.col(radius))
     )
-    return pairs.drop(*cell, "_salt", "_span")
+    return pairs.drop(*cell, "_a", "_o", "_span", "_width")
 
 
 def nearby_pairs(nodes: DataFrame, keys: list[str], meters: float, carry: list[str]) -> DataFrame:

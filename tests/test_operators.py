@@ -313,18 +313,15 @@ def test_build_gates(spark):
         quality.require_import_size(menus=tenth)
 
 
-def test_salted_join_equals_plain_join(spark):
-    many = spark.createDataFrame([("hot" if i % 3 else ("k%d" % (i % 7) if i % 2 else None), i) for i in range(300)], "k string, ord bigint")
-    few = spark.createDataFrame([("hot", 1), ("k1", 2), ("k3", 3), ("none", 4)], "k string, v int")
-    for how in ("inner", "left"):
-        got = skew.salted_join(many, few, ["k"], how, "ord", rows_per_task=20)
-        assert sorted((r.ord, r.k, r.v) for r in got.collect()) == sorted((r.ord, r.k, r.v) for r in many.join(few, ["k"], how).collect())
+def test_stored_tables_go_to_the_shared_folder(spark):
+    class Conf(dict):
+        pass
 
-
-def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     class Cluster:
-        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
-        sparkContext = type("S", (), {"master": "yarn"})
+        conf = Conf({"spark.checkpoint.dir": "hdfs://c", "spark.sql.warehouse.dir": "hdfs://w"})
 
-    with pytest.raises(ValueError):
-        skew.shared_folder(Cluster)
+    assert skew.shared_folder(Cluster) == "hdfs://c"
+    Cluster.conf = Conf({"spark.sql.warehouse.dir": "hdfs://w"})
+    assert skew.shared_folder(Cluster) == "hdfs://w"
+    stored = skew.materialize(spark.range(5))
+    assert stored.count() == 5 and stored.inputFiles()[0].startswith(f"file://{spark.conf.get('spark.checkpoint.dir')}/eatlas/")

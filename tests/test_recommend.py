@@ -24,21 +24,24 @@ def meters(a, b, c, d):
     return 2 * 6_371_000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
 
 
-@pytest.mark.parametrize("degrees,rows_per_task", [(0.25, 1_000_000), (0.03, 7)])
-def test_radius_join_equals_brute_force(spark, degrees, rows_per_task):
+@pytest.mark.parametrize("rows_per_block", [10_000, 7])
+def test_radius_join_equals_brute_force(spark, rows_per_block):
     rng = random.Random(3)
     # A third of the places share one spot.
     spots = [(37.0, 127.0) if i % 3 == 0 else (36.8 + rng.random() * 0.5, 126.8 + rng.random() * 0.5) for i in range(150)]
     asks = [(36.8 + rng.random() * 0.5, 126.8 + rng.random() * 0.5, rng.choice([0.0, 700.0, 5000.0, 20000.0])) for _ in range(60)]
     asks += [(37.0, 127.0, 0.0), (None, 127.0, 100.0), (37.0, 127.0, None), (89.9, 0.0, 5000.0)]
+    # A third of the requests share one spot; the globe's seam, its poles and very wide circles count too.
+    asks += [(37.0, 127.0, 900.0)] * 40 + [(10.0, 179.99, 9000.0), (10.0, -180.0, 9000.0), (-89.98, 10.0, 6000.0), (0.0, 0.0, 1.9e7)]
+    spots += [(10.0, -179.97), (10.0, 179.97), (10.0, 180.0), (89.95, 170.0), (-89.99, -100.0), (90.0, 3.0), (None, 1.0), (1.0, None)]
     places = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "ord bigint, latitude double, longitude double")
     requests = spark.createDataFrame([(i, *a) for i, a in enumerate(asks)], "r bigint, latitude double, longitude double, radius_meters double")
-    got = spatial.radius_join(requests, places, degrees=degrees, rows_per_task=rows_per_task)
+    got = spatial.radius_join(requests, places, rows_per_block=rows_per_block)
     want = {
         (r, p)
         for r, (lat, lon, limit) in enumerate(asks)
         for p, (y, x) in enumerate(spots)
-        if lat is not None and limit is not None and meters(lat, lon, y, x) <= limit
+        if None not in (lat, limit, y, x) and meters(lat, lon, y, x) <= limit
     }
     rows = [(g.r, g.ord) for g in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
@@ -47,7 +50,7 @@ def test_radius_join_equals_brute_force(spark, degrees, rows_per_task):
 def test_place_just_across_a_tile_edge_is_found(spark):
     places = spark.createDataFrame([(1, 37.45001, 127.1)], "ord bigint, latitude double, longitude double")
     requests = spark.createDataFrame([(1, 37.27025, 127.1, 20000.0)], "r bigint, latitude double, longitude double, radius_meters double")
-    assert spatial.radius_join(requests, places, degrees=0.25).count() == 1
+    assert spatial.radius_join(requests, places).count() == 1
 
 
 def sample_places(spark):
