@@ -68,25 +68,47 @@ def levels(links: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for a call that waits for no other, else one more than the last it waits for.
 
     Only calls of the same conversation count in ``after``. Calls on a cycle,
-    or behind one, have no row.
+    or behind one, have no row. Chains of calls that wait for one call each are
+    followed by doubling steps, so a chain takes a logarithm of its length in
+    rounds; after that a round is needed only for each call on a path that
+    waits for several others.
     """
     calls = links.where("n_calls > 0").select(*_KEY, "after")
     waits = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("needed")).where("needed is not null")
     known = calls.select("conv_id", F.col("call_id").alias("needed"))
     waits = materialize(waits.join(known, ["conv_id", "needed"], "left_semi"))
-    done = materialize(calls.join(waits, _KEY, "left_anti").select(*_KEY, F.lit(0).alias("level")))
-    everything, fresh = done, done
-    open_waits = waits
-    while not fresh.isEmpty():
-        # A wait whose call was placed is settled; a call with none left is next.
-        placed = everything.select("conv_id", F.col("call_id").alias("needed"), "level")
-        reached = open_waits.join(placed, ["conv_id", "needed"], "left").groupBy(*_KEY).agg(
-            F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")
+    counted = materialize(waits.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("needs"), F.min("needed").alias("to")))
+    hops = materialize(counted.where("needs = 1").select(*_KEY, "to", F.lit(1).cast("bigint").alias("far")))
+    longest = hops.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        further = hops.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"))
+        hops = materialize(
+            hops.join(further, ["conv_id", "to"], "left").select(
+                *_KEY, F.coalesce("_to", "to").alias("to"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far")
+            )
         )
-        fresh = materialize(reached.where("open = 0").select(*_KEY, (F.col("level") + 1).alias("level")))
-        open_waits = open_waits.join(fresh, _KEY, "left_anti")
-        everything = materialize(everything.unionByName(fresh))
-    return everything
+    # Calls that wait for several: each wait leads to where its chain ends.
+    ends = hops.select("conv_id", F.col("call_id").alias("needed"), F.col("to").alias("_to"), F.col("far").alias("_far"))
+    several = waits.join(counted.where("needs > 1"), _KEY, "left_semi")
+    open_waits = materialize(
+        several.join(ends, ["conv_id", "needed"], "left").select(
+            *_KEY, F.coalesce("_to", "needed").alias("end"), (F.coalesce("_far", F.lit(0)) + 1).alias("far")
+        )
+    )
+    placed = materialize(calls.join(counted, _KEY, "left_anti").select(*_KEY, F.lit(0).cast("bigint").alias("level")))
+    while True:
+        known = placed.select("conv_id", F.col("call_id").alias("end"), "level")
+        reached = open_waits.join(known, ["conv_id", "end"], "left").groupBy(*_KEY).agg(
+            F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")
+        )
+        fresh = materialize(reached.where("open = 0").select(*_KEY, "level"))
+        if fresh.isEmpty():
+            break
+        placed = materialize(placed.unionByName(fresh))
+        open_waits = materialize(open_waits.join(fresh, _KEY, "left_anti"))
+    chained = hops.join(placed.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"])
+    every = placed.unionByName(chained.select(*_KEY, (F.col("level") + F.col("far")).alias("level")))
+    return every.withColumn("level", F.col("level").cast("int"))
 
 
 def errors_of(name: Column, arguments: Column, schemas: Schemas) -> Column:

@@ -1,4 +1,5 @@
 import json
+import random
 
 
 from eatlas.llm import tool_calls
@@ -72,6 +73,27 @@ def test_a_long_chain_and_a_hot_conversation(spark):
     assert sorted(r["position"] for r in got.values()) == list(range(1, 201))
 
 
+def test_levels_of_random_graphs_equal_brute_force(spark):
+    rng = random.Random(3)
+    calls = []
+    for conv in range(8):
+        for i in range(30):
+            # Mostly chains, some joints, now and then a cycle.
+            after = [f"c{rng.choice([i - 1, i - 1, i + 1, rng.randrange(30)])}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+            calls.append((conv, i, f"c{i}", "f", "{}", [a for a in after if rng.random() < 0.9 and (conv > 2 or int(a[1:]) < i)]))
+    needs = {(c, k): {(c, a) for a in after} for c, _, k, _, _, after in calls}
+    known = set(needs)
+    level = {}
+    while True:
+        fresh = {k: 1 + max((level[a] for a in n & known), default=-1) for k, n in needs.items() if k not in level and n & known <= set(level)}
+        if not fresh:
+            break
+        level |= fresh
+    got, _ = run(spark, calls, [])
+    assert {k: r["level"] for k, r in got.items() if r["level"] is not None} == level
+    assert 0 < len(level) < len(known)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [])[1] == []
     assert len(run(spark, [(1, 1, "a", "f", "{}", [])], [])[1]) == 1
