@@ -106,7 +106,7 @@ def confirmed_coverage(spark, sf_dir):
     return quality.coverage(flat_places(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
-_IDS = """ids as (select distinct 'r' || lpad(cast(user_id * 20 as string), 9, '0') as id from events where event_type = 'purchase')"""
+_IDS = """ids as (select distinct 'r' || lpad(cast(user_id * 20 as string), 9, '0') as id from events)"""
 
 
 @query("selected_places", adapters.ctes("places") + f",\n{_IDS}\nselect ord, p.id from places p join ids using (id)")
@@ -122,6 +122,6 @@ def missing_places(spark, sf_dir):
 
 
 def _requested(spark, sf_dir):
-    buyers = adapters.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    users = adapters.table(spark, sf_dir, "events")
     number = (F.col("user_id") * 20).cast("string")
-    return buyers.select(F.concat(F.lit("r"), F.lpad(number, 9, "0")).alias("id")).distinct()
+    return users.select(F.concat(F.lit("r"), F.lpad(number, 9, "0")).alias("id")).distinct()

@@ -135,11 +135,11 @@ def cross_check_summary(spark, sf_dir):
     "pending_places",
     adapters.ctes("places")
     + """
-select ord, id from places where ord not in (select user_id from events where event_type = 'signup' and value >= 5)""",
+select ord, id from places where ord not in (select user_id from events where value >= 5)""",
 )
 def pending_places(spark, sf_dir):
     """Places the ledger lacks under the current policy version."""
-    events = adapters.table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    events = adapters.table(spark, sf_dir, "events")
     version = F.when(F.col("value") >= 5, V.MATCH_POLICY_VERSION).otherwise(V.MATCH_POLICY_VERSION - 1)
     ledger = events.select(
         F.concat(F.lit("r"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("id"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 from .rules import first_evidence, first_match, matches
-from .text import bound, collapse_spaces, name_key
+from .text import bound, collapse_spaces, name_key, trim_space
 
 
 def is_meal_name(name: Column) -> Column:
@@ -170,7 +170,7 @@ def business_category(business_type: Column, license_type: Column, menu_key_text
 
 def audit_text(name: Column, menus: Column) -> Column:
     names = F.array_join(F.transform(menus, lambda m: F.coalesce(m["name"], F.lit(""))), " ")
-    return F.trim(F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(names, F.lit(""))))
+    return trim_space(F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(names, F.lit(""))))
 
 
 def suggested_category(name: Column, menus: Column) -> Column:
@@ -183,6 +183,6 @@ def suggestion_evidence(name: Column, menus: Column) -> Column:
 
 def side_menu_reason(name: Column, price: Column, max_price: float = V.SIDE_MENU_MAX_PRICE) -> Column:
     """Why a cheap menu looks like a side charge, else NULL."""
-    text = F.trim(F.coalesce(name, F.lit("")))
+    text = trim_space(F.coalesce(name, F.lit("")))
     cheap = (F.length(text) > 0) & (price <= max_price)
     return F.when(cheap, first_match(text, V.SIDE_MENU_RULES))

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,15 +38,24 @@ def nfkc(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def decode_numeric_entities(values: pd.Series) -> pd.Series:
-    """Replace ``&#65;`` and ``&#x41;`` by the character they stand for."""
+    """Replace ``&#65;`` and ``&#x41;`` by the character they stand for.
 
-    def character(match: re.Match) -> str:
-        digits = match.group(1)
-        code = int(digits[1:], 16) if digits[0] in "xX" else int(digits)
-        return chr(code) if code <= 0x10FFFF else match.group(0)
+    Numbers that stand for none stay as text. Two entities of a surrogate pair
+    are one character; a single surrogate becomes U+FFFD.
+    """
+
+    def character(base: int) -> Callable[[re.Match], str]:
+        def decoded(match: re.Match) -> str:
+            code = int(match.group(1), base)
+            return chr(code) if code <= 0x10FFFF else match.group(0)
+
+        return decoded
 
-    decimal = values.str.replace(r"&#(\d+);", character, regex=True)
-    return decimal.str.replace(r"&#([xX][0-9a-fA-F]+);", character, regex=True)
+    def whole(value: str) -> str:
+        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+    decimal = values.str.replace(r"&#0*([0-9]{1,7});", character(10), regex=True)
+    return decimal.str.replace(r"&#[xX]0*([0-9a-fA-F]{1,6});", character(16), regex=True).map(whole, na_action="ignore")
 
 
 def trim_space(text: Column) -> Column:
@@ -58,6 +67,11 @@ def clean_text(text: Column) -> Column:
     return trim_space(nfkc(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+def is_number(df: DataFrame, column: str) -> bool:
+    """Whether a column holds numbers, not texts."""
+    return isinstance(df.schema[column].dataType, T.NumericType)
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -130,7 +144,8 @@ def strip_markup(text: Column, numeric_entities: bool = True) -> Column:
     for pattern, character in V.MARKUP_ENTITIES:
         decoded = F.regexp_replace(decoded, pattern, character)
     if numeric_entities:
-        decoded = decode_numeric_entities(decoded)
+        # Only rows that have such an entity take the way through Python with their text.
+        decoded = F.coalesce(decode_numeric_entities(F.when(decoded.contains("&#"), decoded)), decoded)
     return trim_space(F.regexp_replace(decoded, V.MARKUP_TAG, ""))
 
 

@@ -63,7 +63,7 @@ def side_menus(places: DataFrame, max_price: float = V.SIDE_MENU_MAX_PRICE) -> D
     return (
         items.select(
             *reference_columns(),
-            F.trim("m.name").alias("menu_name"),
+            text.trim_space(F.col("m.name")).alias("menu_name"),
             F.col("m.price").alias("menu_price"),
             menus.side_menu_reason(F.col("m.name"), F.col("m.price"), max_price).alias("reason"),
         )
@@ -115,7 +115,7 @@ def summary(places: DataFrame, max_side_price: float = V.SIDE_MENU_MAX_PRICE) ->
     sums = lambda df, prefix: df.agg(
         F.count(F.lit(1)).alias(f"{prefix}_groups"), F.coalesce(F.sum("count"), F.lit(0)).alias(f"{prefix}_records")
     )
-    by_place = sums(duplicate_keys(places, F.trim(F.coalesce(place_id, F.lit("")))), "duplicate_place_id")
+    by_place = sums(duplicate_keys(places, text.trim_space(F.coalesce(place_id, F.lit("")))), "duplicate_place_id")
     by_address = sums(duplicate_keys(places, name_address()), "duplicate_name_address")
     merged = _merge_counts(dedup.resolve(places), "deduplicated", "dedup_groups", "removed_duplicates")
     verified = _merge_counts(

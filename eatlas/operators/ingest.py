@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ _CHUNK_ROWS = 4096
 _EDGE = max(len(word) for _, pattern in V.MENU_KEY_RULES for word in pattern.split("|"))
 
 
+def _price(raw: DataFrame, column: str, fix: Callable[[Column], Column]) -> Column:
+    """Price from a column of numbers as they are, or of texts."""
+    value = F.col(f"`{column}`")
+    return text.parse_price(value, numeric=True) if text.is_number(raw, column) else text.parse_price(fix(value))
+
+
 # --- Source A: one wide row per place ---------------------------------------------
 
 
@@ -32,11 +40,11 @@ def adapt_wide(raw: DataFrame, clean: bool = True) -> DataFrame:
         "ord",
         *[expression.alias(name) for name, expression in texts.items()],
         *[fix(F.col(f"`{V.WIDE_MENU_NAME.format(i)}`")).alias(f"_menu{i}") for i in numbers],
-        *[fix(F.col(f"`{V.WIDE_MENU_PRICE.format(i)}`").cast("string")).alias(f"_price{i}") for i in numbers],
+        *[_price(raw, V.WIDE_MENU_PRICE.format(i), fix).alias(f"_price{i}") for i in numbers],
     )
     slots = F.array(
         *[
-            F.struct(F.col(f"_menu{i}").alias("name"), text.parse_price(F.col(f"_price{i}")).alias("price"))
+            F.struct(F.col(f"_menu{i}").alias("name"), F.col(f"_price{i}").alias("price"))
             for i in numbers
         ]
     )
@@ -144,13 +152,13 @@ def adapt_menu_rows(raw: DataFrame, clean: bool = True) -> DataFrame:
     cleaned = raw.select(
         F.col("menu_ord").alias("ord"),
         *[fix(F.col(c)).alias(n) for c, n in (("RSTR_ID", "rid"), ("MENU_NM", "name"), ("RGN_NM", "region"))],
-        fix(F.col("MENU_PRC").cast("string")).alias("_price"),
+        _price(raw, "MENU_PRC", fix).alias("price"),
     )
     keyed = computed_once(
         cleaned,
         fields=F.struct(
             "ord", "rid", "name", "region",
-            text.parse_price(F.col("_price")).alias("price"),
+            "price",
             text.name_key(F.col("name")).alias("key"),
         ),
     ).select("fields.*")

@@ -32,17 +32,17 @@ def best_place_hits(
         "place_url",
         "category_group_code",
         meters.alias("distance_meters"),
-        text.name_key(F.col("place_name")).alias("hit_name"),
-        text.home_address_key(F.col("road_address_name")).alias("hit_road"),
-        text.home_address_key(F.col("address_name")).alias("hit_address"),
+        text.name_key(text.clean_text(F.col("place_name"))).alias("hit_name"),
+        text.home_address_key(text.clean_text(F.col("road_address_name"))).alias("hit_road"),
+        text.home_address_key(text.clean_text(F.col("address_name"))).alias("hit_address"),
     ).where(
         (F.col("distance_meters") <= max_meters)
         & F.col("category_group_code").isin(*V.FOOD_GROUP_CODES)
     )
     wanted = places.select(
         "id",
-        text.name_key(F.col("name")).alias("own_name"),
-        text.home_address_key(F.col("address")).alias("own_address"),
+        text.name_key(text.clean_text(F.col("name"))).alias("own_name"),
+        text.home_address_key(text.clean_text(F.col("address"))).alias("own_address"),
     )
     exact = (F.length("own_address") > 0) & (
         (F.col("hit_road") == F.col("own_address")) | (F.col("hit_address") == F.col("own_address"))
@@ -130,7 +130,7 @@ def evaluate_local_hits(
     ``hits``: restaurant_id, hit_ord, title (with markup), category, address,
     road_address, link, mapx, mapy.
     """
-    clean = lambda c: text.strip_markup(F.col(c), numeric_entities)
+    clean = lambda c: text.clean_text(text.strip_markup(F.col(c), numeric_entities))
     cleaned = hits.select(
         F.col("restaurant_id").alias("id"),
         "hit_ord",
@@ -145,16 +145,16 @@ def evaluate_local_hits(
             expression.alias(f"{column}_{part}")
             for column in ("address", "road_address")
             for part, expression in (
-                ("key", text.region_address_key(F.col(column))),
-                ("core", text.road_core(F.col(column))),
+                ("key", text.region_address_key(text.clean_text(F.col(column)))),
+                ("core", text.road_core(text.clean_text(F.col(column)))),
             )
         ],
     )
     own = places.select(
         "id",
-        text.name_key(F.col("name")).alias("own_name"),
-        text.region_address_key(F.col("address")).alias("own_key"),
-        text.road_core(F.col("address")).alias("own_core"),
+        text.name_key(text.clean_text(F.col("name"))).alias("own_name"),
+        text.region_address_key(text.clean_text(F.col("address"))).alias("own_key"),
+        text.road_core(text.clean_text(F.col("address"))).alias("own_core"),
         F.col("latitude").alias("own_latitude"),
         F.col("longitude").alias("own_longitude"),
     )

@@ -130,9 +130,14 @@ def nearest_to_targets(
     options = measured.withColumn("t", F.explode(wanted))
     closest = W.partitionBy("t").orderBy(F.abs(F.col("distance_meters") - F.col("t.meters")), F.collate("id", "UNICODE"))
     short = options.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= len(targets))
-    per_target = short.groupBy("t").agg(
+    found = short.groupBy("t").agg(
         F.array_sort(F.collect_list(F.struct("rank", "id", "distance_meters"))).alias("options")
     )
+    # Every target has a row, with no options if there is no place at all.
+    every = places.sparkSession.range(1).select(F.explode(wanted).alias("t"))
+    per_target = every.join(found, "t", "left").withColumn(
+        "options", F.coalesce("options", F.array().cast("array<struct<rank:int,id:string,distance_meters:bigint>>"))
+    )
     item = T.ArrayType(
         T.StructType(
             [

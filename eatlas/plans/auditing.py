@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions import text
 from ..operators import audit, dedup
 
 
@@ -29,7 +30,7 @@ def audit_details(places: DataFrame, max_side_price: float = V.SIDE_MENU_MAX_PRI
     groups = dedup.duplicate_groups(places, resolved)
     sides = audit.side_menus(places, max_side_price)
     reviews = audit.category_reviews(places)
-    place_id = F.trim(F.coalesce("place_id", F.lit("")))
+    place_id = text.trim_space(F.coalesce("place_id", F.lit("")))
     return {
         "duplicate_place_ids": audit.duplicate_key_members(places, place_id, audit.reference_columns()),
         "duplicate_name_addresses": audit.duplicate_key_members(places, audit.name_address(), audit.reference_columns()),

@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import fixed_values as V
+from ..functions import text
 from ..operators.quality import QualityError
 from ..operators.ranking import distributed_row_number
 
-# Positions of the rows of one page, file or line lie below this.
-_PAGE_SPAN = 1_000_000
-
 
 def if_exists(read) -> DataFrame | None:
     try:
@@ -42,7 +40,20 @@ def read_places_json(spark: SparkSession, path: str) -> DataFrame:
     items = F.from_json("value", f"array<struct<{_nested(schema.PLACE_JSON)}>>", {"mode": "FAILFAST"})
     rows = found.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(items).alias("_pos", "_place"))
     numbered = distributed_row_number(rows, [], [F.col("_file"), F.col("_pos")], "ord")
-    return numbered.select((F.col("ord") - 1).alias("ord"), *schema.from_json_place(F.col("_place")))
+    places = numbered.select((F.col("ord") - 1).alias("ord"), *schema.from_json_place(F.col("_place")))
+    return with_clean_text(places)
+
+
+def with_clean_text(places: DataFrame) -> DataFrame:
+    """Places whose names, addresses and regions are in one Unicode form, as all comparisons expect."""
+    fixed = {c: text.clean_text(F.col(c)) for c in ("name", "province", "district", "address")}
+    # Menu names are normalised as one text, so that an array takes one call.
+    names = text.nfkc(F.to_json(F.struct(F.transform("menus", lambda m: F.coalesce(m["name"], F.lit(""))).alias("n"))))
+    clean = F.from_json(names, "n array<string>")["n"]
+    menus = F.zip_with(
+        "menus", clean, lambda m, n: F.struct(F.when(m["name"].isNotNull(), text.trim_space(n)).alias("name"), m["price"].alias("price"))
+    )
+    return places.withColumns(fixed | {"menus": menus})
 
 
 def _nested(ddl: str) -> str:
@@ -72,13 +83,20 @@ def rename_columns(rows: DataFrame, headers: dict[str, str]) -> DataFrame:
 def read_place_file(spark: SparkSession, path: str) -> DataFrame:
     """Source-B place file, ordered by its place id."""
     rows = rename_columns(read_csv(spark, path), V.PLACE_FILE_HEADERS)
-    return rows.withColumn("ord", F.col("RSTR_ID").try_cast("bigint"))
+    return _by_number(rows, "RSTR_ID", "ord")
 
 
 def read_menu_file(spark: SparkSession, path: str) -> DataFrame:
     """Source-B menu file, ordered by its menu id."""
     rows = rename_columns(read_csv(spark, path), V.MENU_FILE_HEADERS)
-    return rows.withColumn("menu_ord", F.col("MENU_ID").try_cast("bigint"))
+    return _by_number(rows, "MENU_ID", "menu_ord")
+
+
+def _by_number(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``name``: position (from 0) by the number in ``column``, then its text; texts that are no numbers come last."""
+    number = F.col(column).try_cast("bigint")
+    numbered = distributed_row_number(rows, [], [number.asc_nulls_last(), F.col(column), F.xxhash64(*rows.columns)], name)
+    return numbered.withColumn(name, F.col(name) - 1)
 
 
 def _page_number() -> F.Column:
@@ -95,9 +113,9 @@ def read_wide_pages(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.schema(f"data array<struct<{row}>>, totalCount bigint").json(path, multiLine=True)
     if not pages.where(F.col("data").isNull()).isEmpty():
         raise QualityError("a page has no data array")
-    rows = pages.select(_page_number().alias("_page"), F.posexplode("data").alias("_pos", "_row"))
+    rows = pages.select(_page_number().alias("_page"), F.col("_metadata.file_path").alias("_file"), F.posexplode("data").alias("_pos", "_row"))
     _require_complete(rows, pages.agg(F.max("totalCount").alias("total")))
-    return rows.select((F.col("_page") * _PAGE_SPAN + F.col("_pos")).alias("ord"), "_row.*")
+    return _in_page_order(rows, "ord")
 
 
 def read_body_pages(spark: SparkSession, path: str, headers: dict[str, str], order: str) -> DataFrame:
@@ -109,9 +127,15 @@ def read_body_pages(spark: SparkSession, path: str, headers: dict[str, str], ord
     bad = F.coalesce(F.col("header.resultCode") != "00", F.lit(True)) | F.col("body").isNull()
     if not pages.where(bad).isEmpty():
         raise QualityError("a page reports an error or has no body")
-    rows = pages.select(_page_number().alias("_page"), F.posexplode("body").alias("_pos", "_row"))
+    rows = pages.select(_page_number().alias("_page"), F.col("_metadata.file_path").alias("_file"), F.posexplode("body").alias("_pos", "_row"))
     _require_complete(rows, pages.agg(F.max("header.totalCount").alias("total")))
-    return rows.select((F.col("_page") * _PAGE_SPAN + F.col("_pos")).alias(order), "_row.*")
+    return _in_page_order(rows, order)
+
+
+def _in_page_order(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with their position (from 0) by page number, file and place in the file."""
+    numbered = distributed_row_number(rows, [], [F.col("_page"), F.col("_file"), F.col("_pos")], name)
+    return numbered.select((F.col(name) - 1).alias(name), "_row.*")
 
 
 def _require_complete(rows: DataFrame, total: DataFrame) -> None:

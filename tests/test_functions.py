@@ -174,3 +174,26 @@ def test_preferences_round_trip(spark):
     saved = values(spark, [tuple(got[0]), tuple(got[1]), empty], again, "c string, b double, m string, t string")
     assert saved[0] == good and saved[1] == cases[1]
     assert saved[2] == '{"category":null,"budget":null,"travelMode":null,"travelTimeLimit":null}'
+
+
+def test_entities_of_any_page_survive(spark):
+    texts = {
+        "&#55357;&#56832;": "😀",
+        "a&#xD83D;b": "a�b",
+        "&#" + "9" * 5000 + ";": "&#" + "9" * 5000 + ";",
+        "&#0000000065;&#x41;": "AA",
+        "&#1114112;": "&#1114112;",
+        "&#١;": "&#١;",
+        "plain": "plain",
+        None: "",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", text.strip_markup(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_reasons_ignore_any_white_space_at_the_ends(spark):
+    row = spark.createDataFrame([("　상차림\t", 3000)], "name string, price bigint")
+    plain = spark.createDataFrame([("상차림", 3000)], "name string, price bigint")
+    reason = menus.side_menu_reason(F.col("name"), F.col("price")).alias("r")
+    assert row.select(reason).first().r == plain.select(reason).first().r is not None

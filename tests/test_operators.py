@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eatlas import schema
+from eatlas.functions import text
 from eatlas.operators import audit, ingest, matching, measurements, quality, ranking, skew, snapshot
 from eatlas.plans import enrichment
 from eatlas.plans.refresh import refresh_normalized, refresh_wide
@@ -325,3 +326,25 @@ def test_stored_tables_go_to_the_shared_folder(spark):
     assert skew.shared_folder(Cluster) == "hdfs://w"
     stored = skew.materialize(spark.range(5))
     assert stored.count() == 5 and stored.inputFiles()[0].startswith(f"file://{spark.conf.get('spark.checkpoint.dir')}/eatlas/")
+
+
+def test_numeric_prices_are_taken_as_numbers(spark):
+    numbers = spark.createDataFrame([(12_000_000.0,), (9000.4,)], "p double")
+    texts = spark.createDataFrame([("12,000,000원",), ("9000.4",)], "p string")
+    for raw in (numbers, texts):
+        price = ingest._price(raw, "p", text.clean_text)
+        assert sorted(r[0] for r in raw.select(price).collect()) == [9000, 12_000_000]
+
+
+def test_hits_match_in_any_unicode_form(spark):
+    spot = spark.createDataFrame([("p", "CU 1호점", "서울 종로구 길 1")], "id string, name string, address string")
+    hits = spark.createDataFrame(
+        [("p", "h", 1, "ＣＵ １호점", "10", "FD6", "서울 종로구 길 １", "", "u")],
+        "restaurant_id string, hit_id string, hit_ord bigint, place_name string, distance string, category_group_code string, road_address_name string, address_name string, place_url string",
+    )
+    assert [r.hit_id for r in matching.best_place_hits(spot, hits).collect()] == ["h"]
+
+
+def test_no_confirmed_place_fails_loudly(spark):
+    with pytest.raises(Exception, match="too few confirmed places"):
+        ranking.nearest_to_targets(places(spark), 37.0, 127.0).collect()

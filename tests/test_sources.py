@@ -38,7 +38,7 @@ def test_csv_with_quoted_cells(spark, tmp_path):
     path = tmp_path / "places.csv"
     path.write_bytes('식당(ID),식당명,모름,도로명주소\r\n"7","하나, ""본점""",x,"길 1\n2층"\r\n8,둘,y,\r\n'.encode())
     got = readers.read_place_file(spark, str(path)).orderBy("ord").collect()
-    assert [(r.ord, r.RSTR_NM, r.ROAD_NM_ADDR) for r in got] == [(7, '하나, "본점"', "길 1\n2층"), (8, "둘", None)]
+    assert [(r.ord, r.RSTR_NM, r.ROAD_NM_ADDR) for r in got] == [(0, '하나, "본점"', "길 1\n2층"), (1, "둘", None)]
     assert "모름" not in got[0].asDict()
 
 
