@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from .common import RowBuffer, rows_of, text_bytes
 from .simhash import word_runs
 
-# At most so many labelled documents are fitted on; so many hashed words, factors, bins, passes.
+# At most so many labelled documents are fitted on; so many hashed words, factors, bins, steps.
 SAMPLE = 6000
 WORDS = 1 << 13
 FACTORS = 8
 BINS = 8
-PASSES = 12
+STEPS = 300
 BATCH = 256
 RATE = 0.02
 DECAY = 1e-4
@@ -148,7 +148,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     m = [np.zeros(1), np.zeros_like(weight), np.zeros_like(factor)]
     v = [np.zeros(1), np.zeros_like(weight), np.zeros_like(factor)]
     step = 0
-    for _ in range(PASSES):
+    for _ in range(-(-STEPS * BATCH // max(len(data), BATCH))):
         order = rng.permutation(len(data))
         for a in range(0, len(order), BATCH):
             chosen = order[a : a + BATCH]
