@@ -118,9 +118,9 @@ def summary(places: DataFrame, max_side_price: float = V.SIDE_MENU_MAX_PRICE) ->
     by_place = sums(duplicate_keys(places, text.trim_space(F.coalesce(place_id, F.lit("")))), "duplicate_place_id")
     by_address = sums(duplicate_keys(places, name_address()), "duplicate_name_address")
     merged = _merge_counts(dedup.resolve(places), "deduplicated", "dedup_groups", "removed_duplicates")
-    verified = _merge_counts(
-        dedup.resolve(places.where(confirmed)), "verified_candidates", "verified_groups", "verified_removed"
-    ).drop("verified_groups")
+    verified = dedup.confirmed_counts(places).select(
+        F.col("kept").alias("verified_candidates"), F.col("removed").alias("verified_removed")
+    )
     sides = side_menus(places, max_side_price).agg(
         F.count(F.lit(1)).alias("side_menu_entries"), F.count_distinct("id").alias("places_with_side_menus")
     )

@@ -89,12 +89,8 @@ def operational_counts(places: DataFrame) -> DataFrame:
     totals = places.agg(
         F.count_if(confirmed).alias("eligible"), F.count_if(~confirmed).alias("excluded")
     )
-    resolved = dedup.resolve(places.where(confirmed))
-    first = F.col("ord") == F.col("cluster")
-    merged = resolved.agg(
-        F.count_if(first & (F.col("cluster_size") > 1)).alias("duplicate_groups"),
-        F.count_if(~first).alias("duplicates_removed"),
-        F.count_if(first).alias("final_candidates"),
+    merged = dedup.confirmed_counts(places).select(
+        F.col("groups").alias("duplicate_groups"), F.col("removed").alias("duplicates_removed"), F.col("kept").alias("final_candidates")
     )
     return _side_by_side(totals, merged)
 
