@@ -35,7 +35,7 @@ from .common import record_batch, rows_of, text_bytes
 SEED = 42
 TEMPERATURE = 1.0
 # Text encoded at a time; longer texts are encoded in segments of this size.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 _BLANK = "▁"
 _CODES = np.uint64(1 << 21)

@@ -14,6 +14,7 @@ Scoring reads every whole text once and moves no row.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -224,16 +225,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield from out.flush()
         yield from out.flush()
 
-    found = texts.mapInArrow(run, "doc_id bigint, label int, index array<int>, value array<double>, statistics array<double>").toArrow()
-    by_id: dict = {}
-    for row in found.to_pylist():
-        if row["doc_id"] not in by_id or by_id[row["doc_id"]]["statistics"] < row["statistics"]:
-            by_id[row["doc_id"]] = row
-    rows = [by_id[i] for i in sorted(by_id)]
-    return fit(
-        [(np.array(r["index"], np.int64), np.array(r["value"]), np.array(r["statistics"])) for r in rows],
-        np.array([r["label"] for r in rows], float),
-    )
+    ddl = "doc_id bigint, label int, index array<int>, value array<double>, statistics array<double>"
+    found = texts.mapInArrow(run, ddl).toArrow().combine_chunks()
+    ids, labels = found.column("doc_id").to_numpy(), found.column("label").to_numpy()
+    lists = [_lists(found.column(c)) for c in ("index", "value", "statistics")]
+    # Of equal ids the row with the largest statistics, whose order begins with the number of words.
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], tuple(lists[2][i])))
+    last = [i for i, j in itertools.zip_longest(order, order[1:]) if j is None or ids[i] != ids[j]]
+    return fit([tuple(c[i] for c in lists) for i in last], labels[last].astype(float))
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Rows of a list column as views of one array."""
+    rows: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        rows += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return rows
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
