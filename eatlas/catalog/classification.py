@@ -125,3 +125,23 @@ def _requested(spark, sf_dir):
     users = adapters.table(spark, sf_dir, "events")
     number = (F.col("user_id") * 20).cast("string")
     return users.select(F.concat(F.lit("r"), F.lpad(number, 9, "0")).alias("id")).distinct()
+
+
+@query(
+    "gates",
+    adapters.ctes("places", "raw_menus")
+    + f""",
+sums as (
+  select (select count(*) from places) as n, (select count(*) from places where status = 'confirmed' and place_id <> '') as s,
+    (select count(*) from raw_menus) as m, (select count(*) from nation) as c)
+select 'confirmed_coverage' as gate, true as passed, cast(1 as double) as value, cast({V.MIN_CONFIRMED_COVERAGE} as double) as needed from sums
+union all select 'snapshot_size', s >= floor(n * {V.MIN_SNAPSHOT_RATIO}) and s > 0, s, floor(n * {V.MIN_SNAPSHOT_RATIO}) from sums
+union all select 'import_size:menus', m >= {V.MIN_IMPORT_ROWS}, m, {V.MIN_IMPORT_ROWS} from sums
+union all select 'import_size:nations', c >= {V.MIN_IMPORT_ROWS}, c, {V.MIN_IMPORT_ROWS} from sums""",
+)
+def gates(spark, sf_dir):
+    """Gates when only the confirmed places are left of a snapshot, and for a long and a short import."""
+    everyone = flat_places(spark, sf_dir)
+    sure = quality.select_for_build(everyone, min_coverage=0.0)
+    imports = {"menus": adapters.view(spark, sf_dir, "raw_menus"), "nations": adapters.table(spark, sf_dir, "nation")}
+    return quality.gate_results(sure, everyone, imports)
