@@ -8,6 +8,8 @@ A bucket with many vectors is cut into blocks of ``BLOCK`` rows, and each pair
 of blocks is a group of its own, so no task holds more than two blocks. Groups
 report, per vector, a number of links and one link of a spanning forest, never
 the pairs. A pair that meets in several tables counts in the first of them.
+Buckets are counted on keys alone, and vectors are sent only into buckets that
+hold two or more.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from .simhash import spanning
 from .vectors import as_doubles, matrices
 
 SIMILARITY = 0.98
-# Chance to miss a pair at exactly the similarity; rows expected in a bucket; rows of a block.
+# Chance to miss a pair at exactly the similarity; rows that meet in a bucket by chance; rows of a block.
 MISS = 0.001
-CROWD = 64
-LEAST_BITS = 10
+CROWD = 16
+LEAST_BITS = 16
 BLOCK = 1024
 SEED = 11
 
@@ -122,28 +124,21 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, block: i
             sign, "label bigint, rep bigint, version bigint, copies bigint, vector binary, signature array<bigint>"
         )
     )
-    bucket = F.xxhash64("label", F.octet_length("vector"), "table", "value").alias("bucket")
-    placed = signed.select("*", F.posexplode("signature").alias("table", "value")).select("*", bucket)
-    crowded = placed.groupBy("bucket").count().where(F.col("count") > block)
-    blocks = crowded.select("bucket", F.ceil(F.col("count") / block).alias("blocks"))
-    spread = placed.join(blocks, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # Buckets are found on keys alone; vectors follow only into those that hold another one.
+    bucket = F.xxhash64("label", "length", "table", "value").alias("bucket")
+    keys = signed.select("label", F.octet_length("vector").alias("length"), "rep", "version", F.posexplode("signature").alias("table", "value"))
+    keys = keys.select("rep", "version", "label", "length", "table", "value", bucket)
+    shared = keys.groupBy("bucket").count().where(F.col("count") > 1)
+    blocks = shared.select("bucket", F.ceil(F.col("count") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("rep", "version"), F.col("blocks")).alias("own")
-    paired = spread.select("*", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    paired = keys.join(blocks, "bucket").select("*", own)
+    paired = paired.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     key = ["bucket", "label", "length", "table", "value", "low", "high"]
-    grouped = paired.select(
-        "bucket",
-        "label",
-        F.octet_length("vector").alias("length"),
-        "table",
-        "value",
-        F.least("own", "other").alias("low"),
-        F.greatest("own", "other").alias("high"),
-        "own",
-        "rep",
-        "version",
-        "copies",
-        "vector",
-        "signature",
+    spread = paired.select(
+        *key[:5], F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "version"
+    )
+    grouped = spread.join(signed.select("rep", "version", "copies", "vector", "signature"), ["rep", "version"]).select(
+        *key, "own", "rep", "version", "copies", "vector", "signature"
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
