@@ -99,11 +99,13 @@ def source_targets(stored: DataFrame, weights: tuple = WEIGHTS, total: float = T
     weighted = ranked.withColumn("weight", weight).withColumn("_ratio", F.col("source_size") / F.col("weight"))
     order = [F.col("_ratio"), *[F.col(c) for c in _SOURCE]]
     filled = materialize(running_sums(weighted, ["_all"], order, {"_stopped": "source_size", "_weight": "weight"}))
-    sums = filled.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_weights"))
-    level = (total * F.col("_size") - most * F.col("_stopped")) / (F.col("_weights") - F.col("_weight"))
-    top = filled.crossJoin(F.broadcast(sums)).agg(F.max(level).alias("_level"))
-    target = F.least(most * F.col("source_size").cast("double"), F.col("_level") * F.col("weight"))
-    return filled.crossJoin(F.broadcast(top)).select(*_SOURCE, "source_size", "weight", target.alias("target"))
+    size, weights_sum = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    if size is None:
+        return filled.select(*_SOURCE, "source_size", "weight", F.lit(0.0).alias("target"))
+    level = (total * size - most * F.col("_stopped")) / (weights_sum - F.col("_weight"))
+    top = filled.agg(F.max(level)).first()[0]
+    target = F.least(most * F.col("source_size").cast("double"), top * F.col("weight"))
+    return filled.select(*_SOURCE, "source_size", "weight", target.alias("target"))
 
 
 # --- the mix ---------------------------------------------------------------------------
