@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import shared_folder
+from ..operators.skew import stored_folder
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,4 +76,4 @@ def with_checkpoints(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable: the cluster's folder, or our own where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+        context.setCheckpointDir(f"{stored_folder(spark)}/checkpoints")
