@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import adapters, schema
 from ..functions import fixed_values as V
-from ..operators.skew import shared_folder
+from ..operators.skew import stored_folder
 from ..sources import readers
 from .base import places, query
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/eatlas/{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    return f"{stored_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _one_file_each(rows: DataFrame, path: str) -> str:

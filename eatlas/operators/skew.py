@@ -25,19 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
-def _stored(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/eatlas/{spark.sparkContext.applicationId}"
+def stored_folder(spark: SparkSession) -> str:
+    """Folder of what this application stores for itself; deleted when it ends."""
+    path = f"{shared_folder(spark)}/eatlas/{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative jobs, and the result outlives lost executors.
-    What an application has written is deleted when it ends.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    path = f"{_stored(spark)}/{uuid.uuid4().hex}"
+    path = f"{stored_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
