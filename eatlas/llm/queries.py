@@ -57,7 +57,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_tool_call_linking", tool_messages.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return tool_calls.formatted(tool_messages.calls(turns), tool_messages.results(turns), tool_messages.SCHEMAS)
+    every = tool_calls.every_occurrence(tool_messages.calls(turns), tool_messages.results(turns), tool_messages.SCHEMAS)
+    return every.drop("occurrence")
 
 
 @query("op4_source_mixing")

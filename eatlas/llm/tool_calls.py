@@ -1,8 +1,8 @@
 """Tool calls and their results, linked, ordered, checked and serialised.
 
-DataFrame operations only. Calls and results meet in a hash join by conversation
-and identifier, after both sides were reduced to one row per identifier, so
-repeated identifiers and very long conversations add no work to the join. The
+DataFrame operations only. Calls and results meet in a hash join by conversation,
+identifier and occurrence: the n-th call of an identifier by turn has the n-th
+result (``every_occurrence``). ``formatted`` takes the first of each only. The
 order inside a conversation comes from dependency levels, computed a level a
 round by joins on identifiers; a conversation is never gathered in one place.
 """
@@ -64,6 +64,36 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def linked_in_turn(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """As ``linked``, but a row for every call and every result: the n-th of an identifier's
+    calls by turn with the n-th of its results, n being ``occurrence``. n_calls and n_results
+    are 1 or 0. Rows without conv_id link with nothing.
+    """
+    called = _identified(calls.withColumn("role", F.lit("call")))
+    answered = _identified(results.withColumn("role", F.lit("result")))
+    by_call = [F.col(c) for c in ("turn", "name", "arguments", "after")]
+    nth_call = distributed_row_number(called, _KEY, by_call, "occurrence")
+    nth_result = distributed_row_number(answered, _KEY, [F.col("turn"), F.col("content")], "occurrence")
+    left = nth_call.select(*_KEY, "occurrence", F.struct("turn", "name", "arguments", "after").alias("c"))
+    right = nth_result.select(*_KEY, "occurrence", F.struct("turn", "content").alias("r"))
+    status = (
+        F.when(F.col("r").isNull(), "unanswered").when(F.col("c").isNull(), "orphan").when(F.col("r.turn") < F.col("c.turn"), "early").otherwise("linked")
+    )
+    return left.join(right, [*_KEY, "occurrence"], "full").select(
+        *_KEY,
+        "occurrence",
+        F.col("c.turn").alias("call_turn"),
+        F.col("c.name").alias("name"),
+        F.col("c.arguments").alias("arguments"),
+        F.col("c.after").alias("after"),
+        F.col("r.turn").alias("result_turn"),
+        F.col("r.content").alias("content"),
+        F.col("c").isNotNull().cast("bigint").alias("n_calls"),
+        F.col("r").isNotNull().cast("bigint").alias("n_results"),
+        status.alias("status"),
+    )
+
+
 def levels(links: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for a call that waits for no other, else one more than the last it waits for.
 
@@ -76,7 +106,28 @@ def levels(links: DataFrame) -> DataFrame:
     calls = links.where("n_calls > 0").select(*_KEY, "after")
     waits = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("needed")).where("needed is not null")
     known = calls.select("conv_id", F.col("call_id").alias("needed"))
-    waits = materialize(waits.join(known, ["conv_id", "needed"], "left_semi"))
+    return _levels(calls, waits.join(known, ["conv_id", "needed"], "left_semi"))
+
+
+def levels_in_turn(links: DataFrame) -> DataFrame:
+    """(conv_id, call_id, occurrence, level) of the calls of ``linked_in_turn``, as ``levels``.
+
+    The n-th call of an identifier waits for the n-th call of each it names, or the last one if it has fewer.
+    """
+    node = lambda n: F.concat(n.cast("string"), F.lit(" "), F.col("_id"))
+    calls = materialize(
+        links.where("n_calls > 0 and conv_id is not null").withColumnRenamed("call_id", "_id").select("conv_id", "_id", "occurrence", node(F.col("occurrence")).alias("call_id"), "after")
+    )
+    known = calls.groupBy("conv_id", "_id").agg(F.max("occurrence").alias("_last"))
+    waits = calls.select("conv_id", "call_id", "occurrence", F.explode(F.array_distinct("after")).alias("_id"))
+    needed = waits.join(known, ["conv_id", "_id"]).select(*_KEY, node(F.least("occurrence", "_last")).alias("needed"))
+    found = _levels(calls.select(*_KEY), needed)
+    return calls.join(found, _KEY).select("conv_id", F.col("_id").alias("call_id"), "occurrence", "level")
+
+
+def _levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
+    """``levels`` of ``calls`` (conv_id, call_id) by ``waits`` (conv_id, call_id, needed), whose ends are all calls."""
+    waits = materialize(waits)
     counted = materialize(waits.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("needs"), F.min("needed").alias("to")))
     hops = materialize(counted.where("needs = 1").select(*_KEY, "to", F.lit(1).cast("bigint").alias("far")))
     longest = hops.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
@@ -145,9 +196,9 @@ def canonical(row: dict[str, Column], arguments: Column) -> Column:
 
 
 def formatted(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """(conv_id, position, call_id, status, level, valid, errors, json) of all calls and results.
+    """(conv_id, position, call_id, status, level, valid, errors, json) of each identifier's first call and result.
 
-    Positions (from 1) order a conversation's identifiers topologically: a call
+    ``every_occurrence`` returns all of them. Positions (from 1) order a conversation's identifiers topologically: a call
     comes after all calls it waits for; calls of equal level by turn, then
     identifier. Calls on a cycle follow (level null), then orphan results.
     ``valid`` and ``errors`` are null for orphans. Rows without conv_id are left
@@ -157,11 +208,30 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFra
     links = materialize(
         linked(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after"), results.select("conv_id", "turn", "call_id", "content"))
     )
-    ordered = links.join(levels(links), _KEY, "left")
+    return _written(links.join(levels(links), _KEY, "left"), _KEY, schemas)
+
+
+def every_occurrence(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
+    """As ``formatted``, but with a row for every call and every result, and ``occurrence`` behind call_id.
+
+    See ``linked_in_turn`` and ``levels_in_turn``. Rows without conv_id stay:
+    they link with nothing and wait for nothing.
+    """
+    links = materialize(
+        linked_in_turn(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after"), results.select("conv_id", "turn", "call_id", "content"))
+    )
+    key = [*_KEY, "occurrence"]
+    ordered = links.join(levels_in_turn(links), key, "left")
+    alone = F.col("conv_id").isNull() & (F.col("n_calls") > 0)
+    return _written(ordered.withColumn("level", F.when(alone, 0).otherwise(F.col("level"))), key, schemas)
+
+
+def _written(ordered: DataFrame, key: list[str], schemas: Schemas) -> DataFrame:
+    """Links with their levels checked, serialised and numbered."""
     errors = F.when(F.col("n_calls") > 0, errors_of(F.coalesce("name", F.lit("")), F.coalesce("arguments", F.lit("")), schemas))
     fields = ("call_id", "content", "name", "status", "call_turn", "result_turn")
     checked = ordered.select(
-        *_KEY,
+        *key,
         "status",
         "level",
         F.coalesce("call_turn", "result_turn").alias("_turn"),
@@ -171,6 +241,6 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFra
         canonical({f: F.col(f) for f in fields}, F.when(F.col("n_calls") > 0, F.coalesce("arguments", F.lit("")))).alias("json"),
     )
     checked = checked.withColumn("valid", F.when(F.col("_class") < 2, F.col("valid")))
-    order = [F.col("_class"), F.col("level"), F.col("_turn"), F.col("call_id")]
+    order = [F.col("_class"), F.col("level"), F.col("_turn"), *[F.col(c) for c in key[1:]]]
     numbered = distributed_row_number(checked, ["conv_id"], order, "position")
-    return numbered.select("conv_id", "position", "call_id", "status", "level", "valid", "errors", "json")
+    return numbered.select("conv_id", "position", *key[1:], "status", "level", "valid", "errors", "json")
