@@ -34,6 +34,8 @@ TOTAL = 1.5
 MOST = 2
 BLOCK = 128
 SHARD_SLOTS = 4096
+# Numbers of a range that one row explodes into.
+_RANGE = 100_000
 SEED = 42
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -143,6 +145,19 @@ def _permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy().view(np.uint64)))
 
 
+def _each_of(rows: DataFrame, first: str, last: str, name: str, most: int) -> DataFrame:
+    """``rows`` once for each number from ``first`` to ``last``, as ``name``; ``most`` is about how many there are in all.
+
+    Ranges are cut into bounded pieces, which are dealt out before they are exploded.
+    """
+    begin, end = F.col(first).cast("bigint"), F.col(last).cast("bigint")
+    pieces = rows.withColumn("_piece", F.explode(F.sequence(begin, end, F.lit(_RANGE).cast("bigint"))))
+    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), most // _RANGE + 1)
+    dealt = pieces.repartition(tasks, *_SOURCE, "_piece")
+    numbers = F.sequence(F.col("_piece"), F.least(F.col("_piece") + F.lit(_RANGE - 1), end))
+    return dealt.withColumn(name, F.explode(numbers)).drop("_piece")
+
+
 def drawn_blocks(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """(_none, _name, shard, pass, block): the block in every slot of the mix.
 
@@ -158,9 +173,8 @@ def drawn_blocks(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     # exploded ranges for as small as their sources, hence the hints against a broadcast.
     ticket = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("_ticket")
     draws = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), ticket)
-    owners = tickets.where("_slots > 0").select(
-        *_SOURCE, F.explode(F.sequence(F.col("_ticket").cast("bigint"), (F.col("_ticket") + F.col("_slots") - 1).cast("bigint"))).alias("_ticket")
-    )
+    owned = tickets.where("_slots > 0").select(*_SOURCE, F.col("_ticket").alias("_from"), (F.col("_ticket") + F.col("_slots") - 1).alias("_to"))
+    owners = _each_of(owned, "_from", "_to", "_ticket", total).select(*_SOURCE, "_ticket")
     counts = draws.join(owners.hint("merge"), "_ticket").groupBy("shard", *_SOURCE).agg(F.count(F.lit(1)).alias("_count"))
     numbered = materialize(running_sums(counts, _SOURCE, [F.col("shard")], {"_first": "_count"}))
     # What a source drew beyond its slots goes to those that drew too few.
@@ -180,13 +194,9 @@ def drawn_blocks(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     )
     own = every.where("_n < _slots").select(*_SOURCE, "shard", "_blocks", "_n")
     spare = every.where("_n >= _slots").select("shard", (F.col("_over_before") + F.col("_n") - F.col("_slots")).alias("_e"))
-    short = balance.where("_under > 0").select(
-        *_SOURCE,
-        "_blocks",
-        F.posexplode(F.sequence(F.col("_drew").cast("bigint"), (F.col("_slots") - 1).cast("bigint"))).alias("_k", "_n"),
-        "_under_before",
-    )
-    short = short.withColumn("_e", (F.col("_under_before") + F.col("_k")).cast("bigint"))
+    lacking = balance.where("_under > 0").select(*_SOURCE, "_blocks", "_under_before", "_drew", (F.col("_slots") - 1).alias("_to"))
+    short = _each_of(lacking, "_drew", "_to", "_n", total)
+    short = short.select(*_SOURCE, "_blocks", "_n", (F.col("_under_before") + F.col("_n") - F.col("_drew")).cast("bigint").alias("_e"))
     given = spare.withColumn("_e", F.col("_e").cast("bigint")).join(short.hint("merge"), "_e").select(*_SOURCE, "shard", "_blocks", "_n")
     slots = own.unionByName(given).withColumn("pass", F.floor(F.col("_n") / F.col("_blocks")))
     key = F.xxhash64("_none", "_name", "pass", F.lit(seed))
