@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_dedup, mixing, neighbours, pieces, quality, simhash, suffix_dedup, token_counts, tool_calls, tool_messages
+from . import embedding_dedup, line_dedup, mixing, neighbours, periodic_runs, pieces, quality, simhash, suffix_dedup, token_counts, tool_calls, tool_messages
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,55 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sentencepiece_sampling")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op11_periodic_runs",
+    r"""
+    WITH split AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+               -- CRC-32 of the decimal id, a byte and its eight bits at a time
+               xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                   lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                   4294967295::BIGINT), 4294967295::BIGINT) AS h
+        FROM documents
+    ), planned AS (SELECT *, len(words) AS n, h // 10 AS g FROM split),
+    placed AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p, unnest(range(n)) AS i FROM planned),
+    words AS (
+        SELECT doc_id, n, i, words[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS w FROM placed
+    ), grams AS (
+        SELECT doc_id, n, i, lag(w) OVER d AS before,
+               hash(w, lead(w) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d, lead(w, 5) OVER d) AS gram
+        FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+    ), pairs AS (
+        SELECT x.doc_id, x.n, x.i AS start, y.i - x.i AS period FROM grams x JOIN grams y
+        ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i AND x.before IS DISTINCT FROM y.before
+        WHERE y.i - x.i <= x.n - y.i AND x.n - x.i >= 12
+    ), periods AS (SELECT DISTINCT doc_id, period FROM pairs),
+    breaks AS (
+        SELECT a.doc_id, q.period, a.i FROM periods q JOIN words a ON a.doc_id = q.doc_id
+        JOIN words b ON b.doc_id = a.doc_id AND b.i = a.i + q.period WHERE a.w <> b.w
+    ), measured AS (
+        SELECT p.doc_id, p.start, p.period, coalesce(b.i, p.n - p.period) - p.start AS common
+        FROM pairs p ASOF LEFT JOIN breaks b ON p.doc_id = b.doc_id AND p.period = b.period AND b.i >= p.start
+    ), runs AS (
+        SELECT doc_id, start, common + period AS length, min(period) AS period FROM measured
+        WHERE common >= period AND common + period >= 12 GROUP BY doc_id, start, common + period
+    ), gone AS (
+        SELECT DISTINCT w.doc_id, w.i FROM words w JOIN runs r
+        ON w.doc_id = r.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length
+    ), texts AS (
+        SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+    ), listed AS (
+        SELECT doc_id, count(*) AS n_runs, list({'l': -length, 's': start, 'p': period} ORDER BY -length, start, period)[1] AS best,
+               string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS rows
+        FROM runs GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.p AS period,
+           1000 * -best.l // best.p AS exponent_milli, sha256(coalesce(rows, '')) AS runs_sha256, sha256(coalesce(t.text, '')) AS collapsed_sha256
+    FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN texts t ON d.doc_id = t.doc_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
