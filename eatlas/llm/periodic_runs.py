@@ -87,7 +87,8 @@ def _grams(texts: _Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.column_stack([texts.begin[found], *(ids[found + k] for k in range(size))])
         _, group, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
         group = group.reshape(-1)
-        found, group = found[count[group] > 1], group[count[group] > 1]
+        again = count[group] > 1
+        found, group = found[again], np.unique(group[again], return_inverse=True)[1]
         order = np.argsort(group, kind="stable")
         return found[order], group[order]
     return found, np.cumsum(first) - 1
