@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_dedup, mixing, neighbours, periodic_runs, pieces, quality, simhash, suffix_dedup, token_counts, tool_calls, tool_messages
+from . import embedding_dedup, line_dedup, mixing, neighbours, periodic_runs, pieces, quality, simhash, suffix_dedup, token_counts, tool_calls, tool_messages, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_warc",
+    """
+    WITH sized AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS payload FROM pages
+    ), kept AS (
+        SELECT payload, max(page_id) AS keeper FROM sized WHERE payload_bytes >= 1000 GROUP BY payload
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+    FROM sized LEFT JOIN kept ON sized.payload_bytes >= 1000 AND sized.payload = kept.payload
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
