@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_dedup, mixing, neighbours, periodic_runs, pieces, quality, simhash, suffix_dedup, token_counts, tool_calls, tool_messages, warc
+from . import embedding_dedup, line_dedup, mixing, neighbours, periodic_runs, pieces, quality, simhash, suffix_dedup, token_counts, tool_calls, tool_messages, vector_codes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +187,46 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
+def _code_oracle() -> str:
+    """The rounds written out one after the other; a quotient is rounded down by taking off its (positive) remainder."""
+    near = """
+        SELECT p.vec_id, p.part, p.x, min({{'d': list_sum(list_transform(list_zip(p.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': c.entry}}) AS best
+        FROM parts p JOIN book{i} c ON p.part = c.part GROUP BY p.vec_id, p.part, p.x"""
+    one_round = """
+    near{i} AS MATERIALIZED (%s
+    ), sums{i} AS (
+        SELECT part, entry, position, sum(x)::BIGINT AS total, count(*) AS n FROM (
+            SELECT part, best.e AS entry, generate_subscripts(x, 1) AS position, unnest(x) AS x FROM near{i}
+        ) GROUP BY part, entry, position
+    ), means{i} AS (
+        SELECT part, entry, list((total - ((total %% n) + n) %% n) // n ORDER BY position) AS c FROM sums{i} GROUP BY part, entry
+    ), book{j} AS MATERIALIZED (
+        SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN means{i} m ON b.part = m.part AND b.entry = m.entry
+    ),""" % near
+    rounds = "".join(one_round.format(i=i, j=i + 1) for i in range(vector_codes.ROUNDS))
+    return f"""
+    WITH kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), cut AS (SELECT vec_id, v, len(v) // 8 AS w, unnest(range(8)) AS part FROM kept),
+    parts AS MATERIALIZED (SELECT vec_id, part, v[part * w + 1 : (part + 1) * w] AS x FROM cut),
+    book0 AS MATERIALIZED (
+        SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM parts
+        WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)
+    ),{rounds}
+    final AS ({near.format(i=vector_codes.ROUNDS)}),
+    codes AS (
+        SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM final GROUP BY vec_id
+    ), labelled AS (SELECT c.vec_id, code, error, label FROM codes c JOIN kept k ON c.vec_id = k.vec_id),
+    totals AS (SELECT label, sum(error)::BIGINT AS label_error FROM labelled GROUP BY label)
+    SELECT vec_id, code, error, label_error,
+           (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book{vector_codes.ROUNDS}) AS codebooks_sha256
+    FROM labelled l JOIN totals t ON l.label IS NOT DISTINCT FROM t.label
+    """
+
+
+@query("op13_vector_codes", _code_oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digest(table(spark, sf_dir, "embeddings"))
