@@ -1,7 +1,6 @@
 """The stages over the small driver tables, each against a brute-force version on its own input."""
 
 import collections
-import itertools
 import os
 import sys
 
@@ -13,9 +12,8 @@ import corpus_pipeline  # noqa: E402
 
 from eatlas.llm import mixing, quality  # noqa: E402
 
-from .helpers import Parts  # noqa: E402
 from .test_line_dedup import brute as brute_lines  # noqa: E402
-from .test_simhash import brute_fingerprint  # noqa: E402
+from .test_shingle_dedup import brute as brute_near  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,12 +55,11 @@ def test_lines_go_as_by_brute_force(stages):
 
 
 def test_one_of_each_group_stays(stages):
-    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in stages[1].collect()}
-    parts = Parts(prints)
-    for a, b in itertools.combinations(prints, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 2:
-            parts.join(a, b)
-    assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted({parts.find(d) for d in prints})
+    kept = sorted(r["doc_id"] for r in stages[2].collect())
+    want, links = brute_near([(r["doc_id"], r["text"]) for r in stages[1].collect()])
+    assert kept == want and links
+    texts = {r["doc_id"]: r["text"] for r in stages[1].collect()}
+    assert {r["doc_id"]: r["text"] for r in stages[2].collect()} == {d: texts[d] for d in kept}
 
 
 def test_mix_holds_what_its_digest_takes(stages):
