@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import adapters
 from ..functions import fixed_values as V
 from ..operators import matching, ranking
-from ..operators.skew import materialize
+from ..operators.skew import materialize, stored_folder
+from ..streaming import enrichment
 from .base import flat_places, query, sql_distance, sql_name_key
 from .text import sql_home_key, sql_region_key, sql_road_core, sql_same_address
 
@@ -52,6 +55,33 @@ def applied_matches(spark, sf_dir):
     )
 
 
+@query(
+    "streamed_matches",
+    adapters.ctes("places", "place_hits")
+    + f""",{_BEST}
+select p.id, hit_id, coalesce(hit_id, p.place_id) as place_id, case when hit_id is null then 'unverified' else 'confirmed' end as status, matched_by, meters as distance_meters
+from places p left join best b using (id)""",
+)
+def streamed_matches(spark, sf_dir):
+    """Outcomes of a stream over landed files that tear every place's hits apart, in two runs."""
+    hits = adapters.view(spark, sf_dir, "place_hits")
+    counted = hits.groupBy("restaurant_id").agg(F.count(F.lit(1)).alias("hit_count"))
+    landed = materialize(hits.join(counted, "restaurant_id"))
+    places = flat_places(spark, sf_dir)
+    folder = f"{stored_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for turn in range(2):
+        landed.where(F.pmod("hit_ord", F.lit(2)) == turn).repartition(4, "hit_ord").write.mode("append").json(f"{folder}/landed")
+        stream = enrichment.enrich_complete_hits(
+            spark, f"{folder}/landed", places, f"{folder}/out", f"{folder}/state", "2026-02-01T00:00:00.000Z", max_files_per_batch=3
+        )
+        stream.awaitTermination()
+    check = F.col("verification")
+    return enrichment.outcomes(spark, f"{folder}/out").select(
+        "id", F.when(check["matched_by"].isNotNull(), F.col("place_id")).alias("hit_id"), "place_id",
+        check["status"].alias("status"), check["matched_by"].alias("matched_by"), check["distance_meters"].alias("distance_meters"),
+    )
+
+
 _PLAIN_TITLE = "trim(regexp_replace(replace(h.title, '&amp;', '&'), '<[^>]*>', '', 'g'))"
 _EVALUATED = f"""
 keyed as (

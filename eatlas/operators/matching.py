@@ -11,6 +11,57 @@ from ..functions.verification import is_confirmed
 from .ranking import distributed_row_number
 
 
+_HIT_COLUMNS = (
+    "restaurant_id", "hit_id", "hit_ord", "place_name", "distance",
+    "category_group_code", "road_address_name", "address_name", "place_url",
+)
+
+
+def judged_hits(
+    places: DataFrame,
+    hits: DataFrame,
+    max_meters: float = V.PLACE_HIT_MAX_METERS,
+    name_only_meters: float = V.PLACE_HIT_NAME_ONLY_METERS,
+) -> DataFrame:
+    """Every hit of a place of ``places``, and whether it ``fits``.
+
+    (id, hit_id, hit_ord, place_url, distance_meters, exact, fits) beside the
+    other columns of ``hits``. A hit fits if it has the place's name, is food
+    or cafe, and has the exact address or lies within ``name_only_meters``.
+    Neither side is shuffled for more than the join on the id, so ``hits`` may
+    be a stream.
+    """
+    usable = hits.select(
+        F.col("restaurant_id").alias("id"),
+        *[c for c in hits.columns if c not in _HIT_COLUMNS],
+        "hit_id",
+        "hit_ord",
+        "place_url",
+        "category_group_code",
+        F.col("distance").try_cast("double").alias("distance_meters"),
+        text.name_key(text.clean_text(F.col("place_name"))).alias("hit_name"),
+        text.home_address_key(text.clean_text(F.col("road_address_name"))).alias("hit_road"),
+        text.home_address_key(text.clean_text(F.col("address_name"))).alias("hit_address"),
+    )
+    wanted = places.select(
+        "id",
+        text.name_key(text.clean_text(F.col("name"))).alias("own_name"),
+        text.home_address_key(text.clean_text(F.col("address"))).alias("own_address"),
+    )
+    exact = (F.length("own_address") > 0) & (
+        (F.col("hit_road") == F.col("own_address")) | (F.col("hit_address") == F.col("own_address"))
+    )
+    fits = (
+        (F.col("distance_meters") <= max_meters)
+        & F.col("category_group_code").isin(*V.FOOD_GROUP_CODES)
+        & (F.col("hit_name") == F.col("own_name"))
+        & (F.col("exact") | (F.col("distance_meters") <= name_only_meters))
+    )
+    judged = usable.join(wanted, ["id"], "inner").withColumn("exact", F.coalesce(exact, F.lit(False)))
+    own = ("category_group_code", "hit_name", "hit_road", "hit_address", "own_name", "own_address")
+    return judged.withColumn("fits", F.coalesce(fits, F.lit(False))).drop(*own)
+
+
 def best_place_hits(
     places: DataFrame,
     hits: DataFrame,

@@ -3,17 +3,26 @@
 Each micro-batch appends its outcomes and its ledger entries; the stream's
 checkpoint remembers which result files were done, so a stopped run goes on
 where it ended.
+
+``enrich_landed_hits`` decides on a place with the first batch that has hits of
+it. ``enrich_complete_hits`` keeps the best hit so far of every place as state
+and decides when all have landed, in however many files and batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema
 from ..functions import fixed_values as V
 from ..operators import matching
+from ..operators.skew import materialize
 from ..sources.readers import if_exists
 
 HITS = (
@@ -61,9 +70,128 @@ def enrich_landed_hits(
 
 
 def _ledger(spark: SparkSession, out_path: str) -> DataFrame:
-
-
     stored = if_exists(
         lambda: spark.read.schema(f"{schema.LEDGER}, batch bigint").parquet(f"{out_path}/ledger")
     )
     return spark.createDataFrame([], f"{schema.LEDGER}, batch bigint") if stored is None else stored
+
+
+# What is known of a place: its best hit so far, the rows seen and expected, and whether it was decided.
+_STATE = "inexact boolean, meters double, hit_ord bigint, hit_id string, url string, seen bigint, expected bigint, closed boolean"
+_DECIDED = "id string, found boolean, hit_id string, hit_url string, matched_by string, distance_meters double"
+
+
+def _better(best: tuple, rows: pd.DataFrame) -> tuple:
+    """The first of ``best`` and the fitting ``rows``: exact address, then distance, then order of the hits."""
+    columns = (~rows["exact"], rows["distance_meters"], rows["hit_ord"], rows["hit_id"], rows["place_url"], rows["fits"])
+    fitting = [values[:5] for values in zip(*(c.tolist() for c in columns), strict=True) if values[5]]
+    if not fitting:
+        return best
+    found = min(fitting, key=lambda f: f[:4])
+    return found if best[0] is None or found[:4] < best[:4] else best
+
+
+def _decided(place: str, best: tuple) -> pd.DataFrame:
+    """A row without nulls: blank where nothing was found."""
+    inexact, meters, _, hit_id, url = best
+    by = V.MATCHED_BY_COORDINATES if inexact else V.MATCHED_BY_ADDRESS
+    row = (place, True, hit_id, url or "", by, meters) if hit_id is not None else (place, False, "", "", "", -1.0)
+    return pd.DataFrame([row], columns=["id", "found", "hit_id", "hit_url", "matched_by", "distance_meters"])
+
+
+def _waiting(wait_seconds: float):
+    """The state function: one row for a place when it is decided, and when a later hit changes that."""
+
+    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *best, seen, expected, closed = state.get if state.exists else (None, None, None, None, None, 0, None, False)
+        before = best = tuple(best)
+        if state.hasTimedOut:
+            state.update((*best, seen, expected, True))
+            yield _decided(key[0], best)
+            return
+        arrived = 0
+        for rows in chunks:
+            best = _better(best, rows)
+            seen += sum(hit is not None for hit in rows["hit_id"].tolist())
+            said = [n for n in rows["hit_count"].tolist() if n is not None and n == n]
+            expected = max([*said, expected or 0]) if said else expected
+            arrived = max(arrived, int(rows["arrived"].iloc[0].timestamp() * 1000))
+        complete = expected is not None and seen >= expected
+        decide = best != before if closed else complete
+        expected = None if expected is None else int(expected)
+        state.update((*best, seen, expected, closed or complete))
+        if not closed and not complete:
+            state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + int(wait_seconds * 1000) + 1)
+        if decide:
+            yield _decided(key[0], best)
+
+    return advance
+
+
+def enrich_complete_hits(
+    spark: SparkSession,
+    hits_path: str,
+    places: DataFrame,
+    out_path: str,
+    checkpoint_path: str,
+    checked_at: str,
+    ledger: DataFrame | None = None,
+    policy_version: int = V.MATCH_POLICY_VERSION,
+    wait_seconds: float = 600.0,
+    max_files_per_batch: int = 100,
+) -> StreamingQuery:
+    """Match every place once all of its hits have landed; process all landed files, then stop.
+
+    Files have the columns of ``HITS`` and ``hit_count``, the number of hits
+    that the search found for the place (zero: one row without ``hit_id``). A
+    place is decided when that many have landed, or, where the number is
+    unknown, by a timer ``wait_seconds`` after its last hits; timers run by the
+    arrival of files, so a landed row without ``restaurant_id`` sets them off
+    as well. A hit that comes after that and is better corrects the outcome.
+    So the newest outcomes (:func:`outcomes`) are those of all hits at once,
+    however they were dealt over files, batches and restarts.
+
+    State is one best hit a place, whatever the number of hits; it is kept for
+    corrections until the checkpoint is given up, as with a new
+    ``policy_version``. Places that ``ledger`` has under the policy are left
+    out. Writes ``{out}/places`` and ``{out}/ledger``, a folder for each batch
+    that decided something; a repeated batch replaces its folder.
+    """
+    todo = places if ledger is None else matching.pending(places, ledger, policy_version)
+    hits = (
+        spark.readStream.schema(f"{HITS}, hit_count bigint").option("maxFilesPerTrigger", max_files_per_batch).json(hits_path)
+    )
+    # Batches are stamped in order, so no hit is ever too late. Rows of no place move the clock
+    # as well: a blank id is not filtered out before the stamp is noted.
+    named = hits.withColumn("restaurant_id", F.coalesce("restaurant_id", F.lit("")))
+    stamped = named.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds")
+    judged = matching.judged_hits(todo, stamped)
+    decided = judged.groupBy("id").applyInPandasWithState(
+        _waiting(wait_seconds), _DECIDED, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        found = materialize(batch)
+        if found.isEmpty():
+            return
+        searched = todo.join(found.select("id"), "id", "left_semi")
+        done = matching.apply_matches(searched, found.where("found"), checked_at)
+        done.write.mode("overwrite").parquet(f"{out_path}/places/batch={batch_id}")
+        entries = matching.ledger_rows(searched, policy_version, checked_at)
+        entries.write.mode("overwrite").parquet(f"{out_path}/ledger/batch={batch_id}")
+
+    return (
+        decided.writeStream.foreachBatch(process)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def outcomes(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest outcome of every place that :func:`enrich_complete_hits` decided, in the columns of places."""
+    stored = if_exists(lambda: spark.read.parquet(f"{out_path}/places"))
+    if stored is None:
+        return spark.createDataFrame([], schema.PLACE)
+    newest = stored.groupBy("id").agg(F.max("batch").alias("batch"))
+    return stored.join(newest, ["id", "batch"]).drop("batch")

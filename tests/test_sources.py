@@ -14,7 +14,8 @@ from eatlas.functions import fixed_values as V  # noqa: E402
 from eatlas.operators.quality import QualityError  # noqa: E402
 from eatlas.plans import serving  # noqa: E402
 from eatlas.sources import readers, reports, tiles  # noqa: E402
-from eatlas.streaming.enrichment import HITS, enrich_landed_hits  # noqa: E402
+from eatlas.operators import matching  # noqa: E402
+from eatlas.streaming.enrichment import HITS, enrich_complete_hits, enrich_landed_hits, outcomes  # noqa: E402
 from tests.test_operators import CONFIRMED, hit, place, places  # noqa: E402
 
 
@@ -126,6 +127,66 @@ def test_stream_resumes(spark, tmp_path):
     assert spark.read.parquet(f"{out}/ledger").count() == 3
 
 
+def outcome(rows):
+    return {r.id: (r.place_id, r.verification.status, r.verification.matched_by, r.verification.distance_meters) for r in rows.collect()}
+
+
+def nothing(place):
+    return (place, *[None] * 8)
+
+
+def test_stream_waits_for_all_hits_of_a_place(spark, tmp_path):
+    rows = places(spark, *[place(n) for n in range(1, 8)])
+    landed, out, check = (str(tmp_path / n) for n in ("landed", "out", "check"))
+
+    def land(*hits):
+        df = spark.createDataFrame([(*h, n) for h, n in hits], f"{HITS}, hit_count bigint")
+        df.coalesce(1).write.mode("append").json(landed)
+
+    def run(wait=0.0):
+        stream = enrich_complete_hits(spark, landed, rows, out, check, "t", ledger=done, wait_seconds=wait, max_files_per_batch=1)
+        assert stream.awaitTermination(120)
+
+    done = matching.ledger_rows(rows.where("id = 'r7'"))
+    # r1 has three hits in two files, the best one last; r2 finds nothing; r3 says nothing of its number;
+    # r5 says two and only one lands; r6 has a hit that does not fit; r7 was done before; r9 is no place.
+    every = [
+        [(hit("r1", 4, distance="90"), 3), (hit("r1", 2, distance="40"), 3), (nothing("r2"), 0), (hit("r3", 8), None)],
+        [(hit("r5", 1), 2), (hit("r6", 6, distance="900"), 1), (hit("r7", 1), 1), (hit("r9", 1), 1)],
+    ]
+    for part in every:
+        land(*part)
+    run(wait=3600)
+    assert outcome(outcomes(spark, out)).keys() == {"r2", "r6"}
+    assert outcome(outcomes(spark, out))["r6"][1] == "unverified"
+    # A restart, and the rest of r1 in a file of its own: decided by its count.
+    land((hit("r1", 3, distance="5"), 3))
+    run(wait=3600)
+    assert outcome(outcomes(spark, out))["r1"] == ("h3", "confirmed", "name-coordinates", 5.0)
+    assert outcome(outcomes(spark, out)).keys() == {"r1", "r2", "r6"}
+    # A better hit beyond the count corrects the outcome; r4 waits for a timer, which the next batch sets off.
+    land((hit("r1", 9, distance="1"), 3), (hit("r4", 7), None))
+    run()
+    land((nothing(None), None))
+    run()
+    assert outcome(outcomes(spark, out)).keys() == {"r1", "r2", "r4", "r6"}
+    # However the hits landed, the outcomes are those of all of them at once.
+    hits = spark.read.schema(HITS).json(landed).where("hit_id is not null")
+    known = rows.join(outcomes(spark, out).select("id"), "id", "left_semi")
+    assert outcome(outcomes(spark, out)) == outcome(matching.apply_matches(known, matching.best_place_hits(known, hits), "t"))
+    assert outcomes(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_judged_hits_are_the_best_ones(spark):
+    rows = places(spark, place(1), place(2))
+    hits = spark.createDataFrame(
+        [hit("r1", 1, distance="600"), hit("r1", 2, name="other"), hit("r1", 3, distance=""), hit("r2", 4, distance="100"), hit("r2", 5, distance="20")], HITS
+    )
+    judged = matching.judged_hits(rows, hits)
+    assert {r.hit_id for r in judged.where("fits").collect()} == {"h4", "h5"} and judged.count() == 5
+    assert matching.best_place_hits(rows, hits).first().hit_id == "h5"
+
+
 def test_registry_is_consistent():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) >= 60
