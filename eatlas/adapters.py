@@ -43,6 +43,20 @@ select 'r' || lpad(cast(c_custkey as string), 9, '0') as id, c_custkey as ord, b
 from (select *, cast(floor(c_custkey / 3) as bigint) as b, c_custkey % 3 as m from customer) c
 """
 
+# The same places, a third of the groups along the seam of longitudes and a third about the
+# north pole. Third records lie across the seam or, in some groups, across the pole.
+VIEWS["wrapped_places"] = """
+select id, ord, grp, member, name, province, district, address, category, phone, place_id, status,
+  (case grp % 3 when 0 then cast(330000 + grp * 7919 % 56000 as double) / 10000
+    when 1 then cast(899999 - (case when grp % 10 = 0 then 0 else 4 * (grp % 499) end)
+      - (case when member < 2 then 0 when grp % 2 = 0 then 2 else 100 end) as double) / 10000
+    else latitude end) as latitude,
+  (case grp % 3 when 0 then cast((case when member < 2 then 1799999 when grp % 2 = 0 then -1799998 else -1799800 end) as double) / 10000
+    when 1 then cast((grp * 7919 + (case when member = 2 and grp % 10 = 0 then 1800 else 0 end)) % 3600 * 1000 - 1800000 as double) / 10000
+    else longitude end) as longitude
+from places
+"""
+
 VIEWS["menus"] = """
 select 'r' || lpad(cast(o_custkey as string), 9, '0') as id, p_partkey as ord,
   split_part(p_name, ' ', 1) || ' ' || dish as name, cast(1000 + (p_partkey * 37 % 400) * 100 as bigint) as price
@@ -142,7 +156,7 @@ join (values (0, '비빔밥'), (1, '콜라'), (2, '짬뽕'), (3, '치즈피자')
 """
 
 DEPENDENCIES = {
-    "places": (), "menus": (), "requests": (),
+    "places": (), "wrapped_places": ("places",), "menus": (), "requests": (),
     "place_standing": ("places",),
     "previous_places": ("place_standing",), "next_places": ("place_standing",),
     "place_hits": ("places",), "local_hits": ("places",), "wide_rows": ("places",),

@@ -46,9 +46,9 @@ def verification(status: str = "status") -> Column:
     )
 
 
-def flat_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places without their menus, in the canonical columns."""
-    rows = adapters.view(spark, sf_dir, "places")
+def flat_places(spark: SparkSession, sf_dir: str, view: str = "places") -> DataFrame:
+    """Places of a view without their menus, in the canonical columns."""
+    rows = adapters.view(spark, sf_dir, view)
     return rows.withColumns(
         {
             "place_url": F.concat(F.lit(V.MAP_LINK_PREFIX), "place_id"),

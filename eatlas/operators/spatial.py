@@ -2,49 +2,60 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from .skew import materialize
+from ..functions import fixed_values as V
+from ..functions import geo, sphere
+from .skew import computed_once, materialize
 
-# The finest cells of a radius join; 2**FINEST of them go round the globe, and a
+# The finest cells of a radius join: 2**FINEST of them a side of a cube's face. A
 # radius uses cells of twice that size as often as it takes to hold it.
-FINEST = 14
+FINEST = 16
 # Requests and places of a cell that one task compares.
 ROWS_PER_BLOCK = 10_000
 
+CELL = ("cell_face", "cell_i", "cell_j")
+VECTOR = ("_x", "_y", "_z")
 
-def covering_cells(df: DataFrame, radius: Column, degrees: float, true_latitude: Column | None = None) -> DataFrame:
-    """One row per grid cell (cell_i, cell_j) that the circle may touch.
 
-    ``true_latitude`` is where the circle lies if ``latitude`` was shifted to
-    fit a grid with an offset.
-    """
-    lat, lon = F.col("latitude"), F.col("longitude")
-    dlat = geo.latitude_span(radius)
-    dlon = geo.longitude_span(lat if true_latitude is None else true_latitude, radius)
-    index = lambda c: geo.tile_index(c, degrees, 0.0)
-    return df.withColumn("cell_i", F.explode(F.sequence(index(lat - dlat), index(lat + dlat)))).withColumn(
-        "cell_j", F.explode(F.sequence(index(lon - dlon), index(lon + dlon)))
-    )
+def with_vector(df: DataFrame) -> DataFrame:
+    """``df`` with the unit vector of its latitude and longitude in the columns ``VECTOR``."""
+    vector = sphere.unit_vector(F.col("latitude"), F.col("longitude"))
+    return computed_once(df, **dict(zip(VECTOR, vector.values(), strict=True)))
 
 
-def own_cell(df: DataFrame, degrees: float) -> DataFrame:
-    return df.withColumn("cell_i", geo.tile_index(F.col("latitude"), degrees, 0.0)).withColumn(
-        "cell_j", geo.tile_index(F.col("longitude"), degrees, 0.0)
-    )
+def own_cell(df: DataFrame, across: Column) -> DataFrame:
+    """Rows that have a vector, and the cell they lie in, on a grid of ``across`` cells a side."""
+    found = computed_once(df, _cell=sphere.cell(*map(F.col, VECTOR), across))
+    return found.select(*df.columns, *[F.col("_cell")[f].alias(c) for f, c in zip(("face", "i", "j"), CELL, strict=True)])
+
+
+def covering_cells(df: DataFrame, radius: Column, across: Column) -> DataFrame:
+    """One row for each cell that the circle around a row that has a vector may touch."""
+    touched = df.withColumn("_r", F.explode(sphere.ranges(*map(F.col, VECTOR), radius, across)))
+    rows = touched.withColumn("cell_i", F.explode(F.sequence("_r.i0", "_r.i1")))
+    rows = rows.withColumn("cell_j", F.explode(F.sequence("_r.j0", "_r.j1")))
+    return rows.select(*df.columns, F.col("_r.face").alias("cell_face"), "cell_i", "cell_j")
+
+
+def _chord_squared() -> Column:
+    """Squared straight distance of a request's and a place's vector."""
+    apart = [F.col(c) - F.col(f"_q{c}") for c in VECTOR]
+    return apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2]
 
 
 def _level(radius: Column) -> Column:
     """How often the finest cell is doubled before it is as large as the radius."""
-    cells = radius / (360.0 / 2**FINEST * geo.METERS_PER_DEGREE)
-    return F.least(F.greatest(F.ceil(F.log2(F.greatest(cells, F.lit(1.0)))), F.lit(0)), F.lit(FINEST - 1)).cast("int")
+    cells = radius / (math.pi / 2 * V.EARTH_RADIUS_METERS / 2**FINEST)
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(cells, F.lit(1.0)))), F.lit(0)), F.lit(FINEST)).cast("int")
 
 
-def _cells_round() -> Column:
-    """Cells of this row's _level that go round the globe."""
-    return F.expr(f"shiftright({1 << FINEST}, _level)")
+def _cells_across() -> Column:
+    """Cells of this row's _level a side of a face."""
+    return F.expr(f"shiftright({1 << FINEST}, _level)").cast("bigint")
 
 
 def radius_join(
@@ -69,67 +80,49 @@ def radius_join(
     places on.
     """
     located = lambda df: df.where(geo.is_finite(F.col("latitude")) & geo.is_finite(F.col("longitude")))
-    wide = F.col("longitude")
-    asked = (
-        located(requests)
-        .where((F.col(radius) >= 0) & geo.is_finite(F.col(radius)))
-        .withColumns(
-            {
-                "_level": _level(F.col(radius)),
-                "_span": geo.latitude_span(F.col(radius)),
-                "_width": geo.longitude_reach(F.col("latitude"), F.col(radius)),
-            }
-        )
-    )
-    # At most FINEST levels.
+    asked = located(requests).where((F.col(radius) >= 0) & geo.is_finite(F.col(radius))).withColumn("_level", _level(F.col(radius)))
+    # At most FINEST + 1 levels.
     levels = [r["_level"] for r in asked.select("_level").distinct().collect()]
-    size = 360.0 / _cells_round()
-    around = lambda j: F.pmod(j, _cells_round().cast("bigint"))
-    index = lambda c: F.floor(c / size).cast("bigint")
-    last = F.least(index(wide + F.col("_width")), index(wide - F.col("_width")) + _cells_round() - 1)
-    wanted = (
-        asked.withColumn("cell_i", F.explode(F.sequence(index(F.col("latitude") - F.col("_span")), index(F.col("latitude") + F.col("_span")))))
-        .withColumn("cell_j", F.explode(F.transform(F.sequence(index(wide - F.col("_width")), last), around)))
-        .withColumnsRenamed({"latitude": "request_latitude", "longitude": "request_longitude"})
+    # A little more than the radius; what lies nearer goes through the exact formula.
+    reach = sphere.chord(F.col(radius)) * (1 + 1e-9) + 1e-12
+    covered = covering_cells(with_vector(asked), F.col(radius), _cells_across()).withColumn("_reach", reach * reach)
+    wanted = covered.withColumnsRenamed(
+        {"latitude": "request_latitude", "longitude": "request_longitude", **{c: f"_q{c}" for c in VECTOR}}
     )
     every_level = F.explode(F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>"))
 
     def gridded(df: DataFrame) -> DataFrame:
-        own = located(df).withColumn("_level", every_level)
-        return own.withColumns({"cell_i": index(F.col("latitude")), "cell_j": around(index(wide))})
+        return own_cell(with_vector(located(df)).withColumn("_level", every_level), _cells_across())
 
-    cell = ["_level", "cell_i", "cell_j"]
+    cell = ["_level", *CELL]
     stored = gridded(places)
     counted = stored if positions is None else gridded(positions.select("latitude", "longitude"))
     blocks = lambda df, name: (
         df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias(name)).where(F.col(name) > 1)
     )
-    # One row per rows_per_block rows at most; both sides read the same stored list.
+    # One row per rows_per_block rows at most; both sides read the same stored list, which Spark
+    # broadcasts only if it is small.
     crowded = materialize(blocks(wanted, "_asking").join(blocks(counted, "_offering"), cell, "full"))
     one = F.lit(1)
     mine = lambda rows, n: F.pmod(F.xxhash64(*rows), F.coalesce(F.col(n), one)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), one) - 1))
     known = [c for c, kind in requests.dtypes if "map<" not in kind and c not in ("latitude", "longitude")]
-    wanted = wanted.join(F.broadcast(crowded), cell, "left").withColumn(
+    wanted = wanted.join(crowded, cell, "left").withColumn(
         "_a", mine([*known, "request_latitude", "request_longitude"], "_asking")
     ).withColumn("_o", all_of("_offering")).drop("_asking", "_offering")
-    stored = stored.join(F.broadcast(crowded), cell, "left").withColumn("_o", mine([spread], "_offering")).withColumn(
+    stored = stored.join(crowded, cell, "left").withColumn("_o", mine([spread], "_offering")).withColumn(
         "_a", all_of("_asking")
     ).drop("_asking", "_offering")
     distance = geo.distance_meters(
         F.col("request_latitude"), F.col("request_longitude"), F.col("latitude"), F.col("longitude")
     )
-    apart = F.abs(F.col("longitude") - F.col("request_longitude"))
     pairs = (
         wanted.join(stored, [*cell, "_a", "_o"])
-        .where(
-            (F.abs(F.col("latitude") - F.col("request_latitude")) <= F.col("_span"))
-            & (F.least(apart, 360.0 - apart) <= F.col("_width"))
-        )
+        .where(_chord_squared() <= F.col("_reach"))
         .withColumn("distance_meters", distance)
         .where(F.col("distance_meters") <= F.col(radius))
     )
-    return pairs.drop(*cell, "_a", "_o", "_span", "_width")
+    return pairs.drop(*cell, "_a", "_o", "_reach", *VECTOR, *[f"_q{c}" for c in VECTOR])
 
 
 def nearby_pairs(nodes: DataFrame, keys: list[str], meters: float, carry: list[str]) -> DataFrame:
@@ -138,18 +131,20 @@ def nearby_pairs(nodes: DataFrame, keys: list[str], meters: float, carry: list[s
     ``nodes`` needs ``rep`` (unique), ``latitude`` and ``longitude``; each pair
     comes once with ``left.rep < right.rep``, its columns suffixed _l and _r.
     """
-    degrees = max(float(meters) / geo.METERS_PER_DEGREE, 1e-6)
-    columns = ["rep", "latitude", "longitude", *carry]
+    across = F.lit(sphere.cells_across(max(float(meters), 0.1)))
+    columns = ["rep", "latitude", "longitude", *VECTOR, *carry]
     suffixed = lambda df, mark: df.select(
-        *keys, "cell_i", "cell_j", *[F.col(c).alias(f"{c}_{mark}") for c in columns]
+        *keys, *CELL, *[F.col(c).alias(f"{c}_{mark}") for c in columns]
     )
-    left = suffixed(covering_cells(nodes, F.lit(float(meters)), degrees), "l")
-    right = suffixed(own_cell(nodes, degrees), "r")
+    placed = with_vector(nodes)
+    left = suffixed(covering_cells(placed, F.lit(float(meters)), across), "l")
+    right = suffixed(own_cell(placed, across), "r")
     distance = geo.distance_meters(
         F.col("latitude_l"), F.col("longitude_l"), F.col("latitude_r"), F.col("longitude_r")
     )
+    marks = [f"{c}_{mark}" for c in VECTOR for mark in "lr"]
     return (
-        left.join(right, [*keys, "cell_i", "cell_j"])
+        left.join(right, [*keys, *CELL])
         .where((F.col("rep_l") < F.col("rep_r")) & (distance <= meters))
-        .drop("cell_i", "cell_j")
+        .drop(*CELL, *marks)
     )

@@ -47,6 +47,60 @@ def test_radius_join_equals_brute_force(spark, rows_per_block):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def scattered(rng, n):
+    """Points everywhere, many of them near the seam, the poles, and edges and corners of the cube."""
+    points = [(math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for _ in range(n)]
+    for lat, lon in [(0, 180), (50, -180), (90, 0), (-90, 7), (0, 45), (35.26439, 45), (-35.26439, 135), (45, 0), (45, 90), (0, -135)]:
+        points += [(max(-90.0, min(90.0, lat + rng.gauss(0, 0.02))), lon + rng.gauss(0, 0.02)) for _ in range(n // 10)]
+    return [(lat, lon - 360 if lon > 180 else lon + 360 if lon < -180 else lon) for lat, lon in points]
+
+
+@pytest.mark.parametrize("across", [1, 7, 1000, 10**6])
+def test_circles_cover_the_cells_of_their_points(spark, across):
+    rng = random.Random(across)
+    rows, step = [], 10_007_543 / across
+    for i, (lat, lon) in enumerate(scattered(rng, 100)):
+        limit = rng.choice([0.0, step / 9, step, 2.5 * step])
+        for _ in range(4):
+            bearing, angle = rng.uniform(0, 2 * math.pi), rng.choice([0.0, 0.5, 1.0]) * min(limit, 2.0e7) / 6_371_000
+            p = math.radians(lat)
+            q = math.asin(max(-1, min(1, math.sin(p) * math.cos(angle) + math.cos(p) * math.sin(angle) * math.cos(bearing))))
+            x = math.radians(lon) + math.atan2(
+                math.sin(bearing) * math.sin(angle) * math.cos(p), math.cos(angle) - math.sin(p) * math.sin(q)
+            )
+            rows.append((i, lat, lon, limit * (1 + 1e-12), math.degrees(q), math.degrees(x)))
+    df = spark.createDataFrame(rows, "i int, latitude double, longitude double, meters double, y double, x double")
+    df = df.withColumn("n", F.monotonically_increasing_id())
+    cells = spatial.covering_cells(spatial.with_vector(df), F.col("meters"), F.lit(across)).select("n", *spatial.CELL)
+    points = df.select("n", F.col("y").alias("latitude"), F.col("x").alias("longitude"))
+    own = spatial.own_cell(spatial.with_vector(points), F.lit(across)).select("n", *spatial.CELL)
+    assert own.join(cells, ["n", *spatial.CELL], "left_anti").count() == 0
+    # Circles no wider than a cell touch a few.
+    few = df.where(F.col("meters") <= step).select("n")
+    assert cells.join(few, "n").groupBy("n").count().agg(F.max("count")).first()[0] <= 24
+
+
+def test_near_pairs_anywhere_equal_brute_force(spark):
+    rng = random.Random(6)
+    spots = [(0.0, 180.0), (60.0, -180.0), (90.0, 10.0), (-90.0, 0.0), (89.999, 40.0), (35.26439, 45.0), (10.0, 45.0), (37.0, 127.0)]
+    points = []
+    for lat, lon in spots:
+        for _ in range(25):
+            away, bearing = rng.uniform(0, 60) / 111_195, rng.uniform(0, 2 * math.pi)
+            if abs(lat) > 89.99:
+                colat, turn = rng.uniform(0, 60) / 111_195 + (90 - abs(lat)), rng.uniform(-180, 180) if abs(lat) == 90 else lon + rng.gauss(0, 10)
+                y, x = math.copysign(90 - colat, lat), turn
+            else:
+                y, x = lat + away * math.cos(bearing), lon + away * math.sin(bearing) / math.cos(math.radians(lat))
+            points.append((y, x - 360 if x > 180 else x + 360 if x < -180 else x))
+    nodes = spark.createDataFrame([(i, "k", *p) for i, p in enumerate(points)], "rep bigint, key string, latitude double, longitude double")
+    got = spatial.nearby_pairs(nodes, ["key"], 50.0, [])
+    assert got.columns == ["key", "rep_l", "latitude_l", "longitude_l", "rep_r", "latitude_r", "longitude_r"]
+    want = {(i, j) for i in range(len(points)) for j in range(i + 1, len(points)) if meters(*points[i], *points[j]) <= 50}
+    found = [(r.rep_l, r.rep_r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 500
+
+
 def test_place_just_across_a_tile_edge_is_found(spark):
     places = spark.createDataFrame([(1, 37.45001, 127.1)], "ord bigint, latitude double, longitude double")
     requests = spark.createDataFrame([(1, 37.27025, 127.1, 20000.0)], "r bigint, latitude double, longitude double, radius_meters double")

@@ -12,6 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from eatlas import schema  # noqa: E402
 from eatlas.functions import fixed_values as V  # noqa: E402
 from eatlas.operators.quality import QualityError  # noqa: E402
+from eatlas.operators.spatial import radius_join  # noqa: E402
 from eatlas.plans import serving  # noqa: E402
 from eatlas.sources import readers, reports, tiles  # noqa: E402
 from eatlas.operators import matching  # noqa: E402
@@ -89,7 +90,7 @@ def test_build_and_answer(spark, tmp_path):
     found = serving.answer_requests(spark, requests, root, "good-price")
     assert sorted(r.id for r in found.collect()) == ["r1", "r4"]
     plan = found._jdf.queryExecution().toString()
-    assert "dynamicpruning" in plan or "tile" in plan
+    assert "dynamicpruning" in plan
     with pytest.raises(QualityError):
         serving.build_tiles(rows, root, "elsewhere", "3")
     # A build that was written but never published is not seen.
@@ -97,6 +98,18 @@ def test_build_and_answer(spark, tmp_path):
     assert tiles.latest_manifest(spark, root, "good-price").first().build == "2"
 
 
+def test_tiles_over_the_seam_and_at_the_poles(spark):
+    asks = [(10.0, 179.99, 9000.0), (10.0, -180.0, 9000.0), (89.98, 10.0, 6000.0), (-89.9, -179.9, 30000.0), (37.0, 127.0, 20000.0), (0.0, 0.0, 2.0e7)]
+    rows = spark.createDataFrame([(i, *a) for i, a in enumerate(asks)], "n int, latitude double, longitude double, radius_meters double")
+    found = [{r.tile for r in tiles.required_tiles(rows.where(rows.n == i)).collect()} for i in range(len(asks))]
+    spots = [(10.0, -179.97), (10.0, 179.97), (10.02, 180.0), (89.97, 170.0), (89.99, -100.0), (90.0, 3.0), (-89.95, 0.0), (-89.99, 180.0), (37.1, 127.1)]
+    near = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "ord bigint, latitude double, longitude double")
+    pairs = radius_join(rows, tiles.with_tiles(near)).collect()
+    assert {(p.n, p.ord) for p in pairs} >= {(0, 0), (0, 1), (1, 1), (2, 3), (2, 4), (3, 6), (3, 7), (4, 8)}
+    assert all(p.tile in found[p.n] for p in pairs)
+    assert len(found[0]) <= 6 and len(found[1]) <= 6 and len(found[4]) <= 9
+
+
 def test_serving_size(spark):
     rows = places(spark, place(1, url="http://x")).withColumnRenamed("district", "geocoding")
     assert tiles.optimize_for_serving(rows).first().place_url == "https://x"
