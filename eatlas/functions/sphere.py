@@ -67,36 +67,36 @@ def cell(x: Column, y: Column, z: Column, n: Column) -> Column:
     )
 
 
-def ranges(x: Column, y: Column, z: Column, meters: Column, n: Column) -> Column:
-    """The cells that a circle of ``meters`` may touch, as an array of (face, i0, i1, j0, j1).
+def faces(x: Column, y: Column, z: Column) -> Column:
+    """The point as each face sees it: an array of (_face, _main, _first, _second).
 
-    A circle of a few cells touches one face, near an edge two, near a corner
-    three; one larger than the globe touches all cells.
+    ``_main`` points out of the face, ``_first`` and ``_second`` lie in it.
+    Points of a face have a ``_main`` of at least ``LEAST_MAIN`` there.
     """
-    angle = meters / V.EARTH_RADIUS_METERS
-    reach, n = F.sin(F.least(angle, F.lit(math.pi / 2))), n.cast("bigint")
     axes = {"x": x, "y": y, "z": z}
+    return F.array(
+        *[
+            F.struct(F.lit(face).alias("_face"), (axes[axis] * sign).alias("_main"), axes[first].alias("_first"), axes[second].alias("_second"))
+            for face, (axis, sign, first, second) in enumerate(_FACES)
+        ]
+    )
+
+
+# A little less than the main coordinate at a corner of the cube.
+LEAST_MAIN = 0.5773
+
 
-    def span(other: Column, main: Column) -> tuple[Column, Column]:
-        across = F.sqrt(main * main + other * other)
-        middle = F.atan2(other, main)
-        # A circle that holds the axis of the angle, or half the globe, covers all of it.
-        all_of = (angle >= math.pi / 2) | (reach >= across)
-        half = F.when(all_of, F.lit(2 * math.pi)).otherwise(F.asin(F.least(reach / across, F.lit(1.0))) + _SLACK)
-        return F.greatest(middle - half, F.lit(-_QUARTER)), F.least(middle + half, F.lit(_QUARTER))
-
-    found = []
-    for face, (axis, sign, first, second) in enumerate(_FACES):
-        main = axes[axis] * sign
-        (low1, high1), (low2, high2) = span(axes[first], main), span(axes[second], main)
-        found.append(
-            F.when(
-                (low1 <= high1) & (low2 <= high2),
-                F.struct(
-                    F.lit(face).alias("face"),
-                    _index(low1, n).alias("i0"), _index(high1, n).alias("i1"),
-                    _index(low2, n).alias("j0"), _index(high2, n).alias("j1"),
-                ),
-            )
-        )
-    return F.array_compact(F.array(*found))
+def span(other: Column, main: Column, meters: Column) -> Column:
+    """(low, high): the range of one of a face's angles that a circle of ``meters`` covers, empty if low > high."""
+    angle = meters / V.EARTH_RADIUS_METERS
+    reach, across = F.sin(F.least(angle, F.lit(math.pi / 2))), F.sqrt(main * main + other * other)
+    # A circle that holds the axis of the angle, or half the globe, covers all of it.
+    half = F.when((angle >= math.pi / 2) | (reach >= across), F.lit(2 * math.pi)).otherwise(F.asin(F.least(reach / across, F.lit(1.0))) + _SLACK)
+    middle = F.atan2(other, main)
+    return F.struct(F.greatest(middle - half, F.lit(-_QUARTER)).alias("low"), F.least(middle + half, F.lit(_QUARTER)).alias("high"))
+
+
+def index_range(span: Column, n: Column) -> Column:
+    """The indexes of cells, on a grid of ``n`` cells a side, that a range of angles touches."""
+    n = n.cast("bigint")
+    return F.sequence(_index(span["low"], n), _index(span["high"], n))

@@ -35,10 +35,17 @@ def own_cell(df: DataFrame, across: Column) -> DataFrame:
 
 def covering_cells(df: DataFrame, radius: Column, across: Column) -> DataFrame:
     """One row for each cell that the circle around a row that has a vector may touch."""
-    touched = df.withColumn("_r", F.explode(sphere.ranges(*map(F.col, VECTOR), radius, across)))
-    rows = touched.withColumn("cell_i", F.explode(F.sequence("_r.i0", "_r.i1")))
-    rows = rows.withColumn("cell_j", F.explode(F.sequence("_r.j0", "_r.j1")))
-    return rows.select(*df.columns, F.col("_r.face").alias("cell_face"), "cell_i", "cell_j")
+    # Step by step, so that Spark compiles a few short expressions instead of one for all faces.
+    seen = df.withColumn("_radius", radius).withColumn("_across", across).select("*", F.inline(sphere.faces(*map(F.col, VECTOR))))
+    near = seen.where(F.col("_main") >= sphere.LEAST_MAIN - sphere.chord(F.col("_radius")))
+    spans = computed_once(
+        near,
+        _i=sphere.span(F.col("_first"), F.col("_main"), F.col("_radius")),
+        _j=sphere.span(F.col("_second"), F.col("_main"), F.col("_radius")),
+    ).where("_i.low <= _i.high and _j.low <= _j.high")
+    rows = spans.withColumn("cell_i", F.explode(sphere.index_range(F.col("_i"), F.col("_across"))))
+    rows = rows.withColumn("cell_j", F.explode(sphere.index_range(F.col("_j"), F.col("_across"))))
+    return rows.select(*df.columns, F.col("_face").alias("cell_face"), "cell_i", "cell_j")
 
 
 def _chord_squared() -> Column:
@@ -116,13 +123,16 @@ def radius_join(
     distance = geo.distance_meters(
         F.col("request_latitude"), F.col("request_longitude"), F.col("latitude"), F.col("longitude")
     )
+    # As many tasks as the session asks for: what a task compares does not follow from the size of its rows.
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = [*cell, "_a", "_o"]
     pairs = (
-        wanted.join(stored, [*cell, "_a", "_o"])
+        wanted.repartition(tasks, *block).join(stored.repartition(tasks, *block), block)
         .where(_chord_squared() <= F.col("_reach"))
         .withColumn("distance_meters", distance)
         .where(F.col("distance_meters") <= F.col(radius))
     )
-    return pairs.drop(*cell, "_a", "_o", "_reach", *VECTOR, *[f"_q{c}" for c in VECTOR])
+    return pairs.drop(*block, "_reach", *VECTOR, *[f"_q{c}" for c in VECTOR])
 
 
 def nearby_pairs(nodes: DataFrame, keys: list[str], meters: float, carry: list[str]) -> DataFrame:
