@@ -17,9 +17,13 @@ so the anchor's gram is the bucket in which all copies of a string meet.
    a smaller document than the batch's own smallest holds that string.
 3. Batches mark the bytes that flagged starts cover.
 
-A string that a third of all documents hold is one entry per batch. Batches and
-parts hold about ``BATCH_BYTES`` of text, whatever the table's size. The texts
-are shuffled once; the three steps read the same exchange.
+A string that a third of all documents hold is one entry per batch. Strings that
+begin in a passage and run on into text of their own have the passage's anchors
+but are all different; an anchor that occurs more than ``CROWDED`` times is
+therefore split: its strings are sent one by one, each to the part of its own
+hash, where equal ones meet as before. Batches and parts hold about
+``BATCH_BYTES`` of text but for an entry a batch of each string that all share.
+The texts are shuffled once; the three steps read the same exchange.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,8 @@ from .common import blocks_for, record_batch, text_bytes
 SPAN = 50
 # Text of a batch, and about the text whose anchors meet in one part.
 BATCH_BYTES = 8 << 20
+# Occurrences of an anchor whose strings one part takes together.
+CROWDED = 40_000
 
 _GRAM = 24
 _WINDOW = 35
@@ -161,11 +168,14 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 # --- step 1: which anchors occur in two documents ------------------------------------
 
-_ANCHORS = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary())])
+_ANCHORS = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary()), ("more", pa.binary())])
 
 
-def batch_anchors(batch: Batch, span: int, parts: int) -> Iterator[tuple[int, bytes]]:
-    """For each part, the batch's distinct anchors; the lowest bit says whether two documents here have it."""
+def batch_anchors(batch: Batch, span: int, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """For each part, the batch's distinct anchors; the lowest bit says whether two documents here have it.
+
+    Beside them stand (place in the list, further occurrences) of those that occur again.
+    """
     runs = anchor_runs(batch, span)
     rank = batch.rank[np.searchsorted(batch.begin, runs.start, "right") - 1]
     order = np.argsort(runs.hash)
@@ -173,27 +183,36 @@ def batch_anchors(batch: Batch, span: int, parts: int) -> Iterator[tuple[int, by
     if not len(hashes):
         return
     first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    further = np.diff(np.append(first, len(hashes))) - 1
     several = np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first)
     part, low = bucket_keys(hashes[first], parts)  # in order of the parts already
     values = (low << np.uint64(1)) | several.astype(np.uint64)
     for number, where in _by_part(part):
-        yield number, pack5(values[where])
+        again = np.flatnonzero(further[where])
+        yield number, pack5(values[where]), np.column_stack([again, further[where][again]]).astype("<u4").tobytes()
 
 
-def repeated_anchors(batches: list[int], blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """For each batch, those of its anchors in this part that two documents have."""
+def repeated_anchors(batches: list[int], blobs: list[bytes], more: list[bytes], crowded: int) -> Iterator[tuple[int, bytes]]:
+    """For each batch, those of its anchors in this part that two documents have; the lowest bit marks crowded ones."""
     values = [unpack5(b) for b in blobs]
     owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
     flat = np.concatenate(values)
+    occurrences = np.ones(len(flat), np.int64)
+    ahead = 0
+    for found, extra in zip(values, more, strict=True):
+        place, further = np.frombuffer(extra, "<u4").reshape(-1, 2).T
+        occurrences[ahead + place] += further
+        ahead += len(found)
     order = np.argsort(flat >> np.uint64(1), kind="stable")
     low, several = flat[order] >> np.uint64(1), (flat[order] & np.uint64(1)).astype(bool)
     first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
     size = np.diff(np.append(first, len(low)))
     repeated = np.repeat((size > 1) | np.logical_or.reduceat(several, first), size)
-    low, owner = low[repeated], owner[order][repeated]
+    marked = (low << np.uint64(1)) | np.repeat(np.add.reduceat(occurrences[order], first) > crowded, size).astype(np.uint64)
+    marked, owner = marked[repeated], owner[order][repeated]
     by_owner = np.argsort(owner, kind="stable")
     for number, where in _by_part(owner[by_owner]):
-        yield batches[number], pack5(low[by_owner][where])
+        yield batches[number], pack5(marked[by_owner][where])
 
 
 # --- step 2: snippets, and their suffixes in order -------------------------------------
@@ -301,20 +320,28 @@ class Snippets(NamedTuple):
 
 
 def batch_snippets(batch: Batch, span: int, parts: int, repeated: np.ndarray) -> Snippets:
-    """``repeated``: sorted keys (part, low bits) of anchors that two documents have."""
+    """``repeated``: sorted keys (part, low bits, crowded) of anchors that two documents have."""
     runs = anchor_runs(batch, span)
     part, low = bucket_keys(runs.hash, parts)
     key = (part << np.uint64(_LOW_BITS)) | low
     if len(repeated):
-        hit = repeated[np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)] == key
+        at = np.minimum(np.searchsorted(repeated >> np.uint64(1), key), len(repeated) - 1)
+        hit = repeated[at] >> np.uint64(1) == key
+        split = (repeated[at] & np.uint64(1)).astype(bool)[hit]
     else:
-        hit = np.zeros(len(key), bool)
-    runs = Runs(*(c[hit] for c in runs))
-    part = part[hit].astype(np.int64)
+        hit, split = np.zeros(len(key), bool), np.zeros(0, bool)
+    start, count, anchor = (c[hit] for c in runs)
+    # Runs of crowded anchors become as many runs of one start.
+    copies = np.where(split, count, 1)
+    offset = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+    split = np.repeat(split, copies)
+    runs = Runs(np.repeat(start, copies) + offset, np.where(split, 1, np.repeat(count, copies)), np.repeat(anchor, copies))
+    part = np.repeat(part[hit].astype(np.int64), copies)
     doc = np.searchsorted(batch.begin, runs.start, "right") - 1
     ends = np.flatnonzero(rising(batch.data, span))
     seed = ends[np.searchsorted(ends, runs.start + runs.count - 1)]
-    stop = np.minimum(seed + span, (batch.begin + batch.length)[doc])
+    # A string by itself ends where it ends: equal ones are equal snippets.
+    stop = np.where(split, runs.start + span, np.minimum(seed + span, (batch.begin + batch.length)[doc]))
     sizes = [bytes([i]) for i in range(256)]
     numbers: dict[bytes, int] = {}
     data = batch.bytes
@@ -326,6 +353,9 @@ def batch_snippets(batch: Batch, span: int, parts: int, repeated: np.ndarray) ->
         np.int64,
         len(runs.start),
     )
+    for i in np.flatnonzero(split).tolist():
+        a = int(runs.start[i])
+        part[i] = xxhash.xxh3_64_intdigest(data[a : a + span]) % parts
     least = np.full(len(numbers), _NO_ID, np.int64)
     np.minimum.at(least, number, batch.rank[doc])
     own_part = np.zeros(len(numbers), np.int64)
@@ -440,8 +470,9 @@ def _tabled(schema: pa.Schema, rows: Iterator[tuple]) -> pa.Table:
 
 
 def _repeated_keys(replies: pa.Table) -> np.ndarray:
+    """Sorted keys (part, low bits, crowded); the part's number fills the bits above."""
     rows = [
-        (np.uint64(part) << np.uint64(_LOW_BITS)) | unpack5(blob)
+        (np.uint64(part) << np.uint64(_LOW_BITS + 1)) | unpack5(blob)
         for part, blob in zip(replies.column("part").to_pylist(), replies.column("hashes").to_pylist(), strict=True)
         if blob is not None
     ]
@@ -459,16 +490,16 @@ def _masks(replies: pa.Table, snippets: int) -> np.ndarray:
 class _Steps:
     """The three steps as functions of Arrow tables."""
 
-    def __init__(self, span: int, parts: int):
-        self.span, self.parts = span, parts
+    def __init__(self, span: int, parts: int, crowded: int):
+        self.span, self.parts, self.crowded = span, parts, crowded
 
     def anchors(self, rows: pa.Table) -> pa.Table:
         number = rows.column("batch")[0].as_py()
-        return _tabled(_ANCHORS, ((part, number, blob) for part, blob in batch_anchors(Batch(rows), self.span, self.parts)))
+        return _tabled(_ANCHORS, ((part, number, *blobs) for part, *blobs in batch_anchors(Batch(rows), self.span, self.parts)))
 
     def repeated(self, rows: pa.Table) -> pa.Table:
         part = rows.column("part")[0].as_py()
-        found = repeated_anchors(rows.column("batch").to_pylist(), rows.column("hashes").to_pylist())
+        found = repeated_anchors(*(rows.column(c).to_pylist() for c in ("batch", "hashes", "more")), self.crowded)
         return _tabled(_REPLIES, ((batch, part, blob, None, None) for batch, blob in found))
 
     def snippets(self, rows: pa.Table, replies: pa.Table) -> pa.Table:
@@ -500,23 +531,25 @@ class _Steps:
         return _tabled(_DIGEST, iter(out))
 
 
-def span_digest(docs: DataFrame, span: int = SPAN, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def span_digest(docs: DataFrame, span: int = SPAN, batch_bytes: int = BATCH_BYTES, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text).
 
     A byte goes if a string of ``span`` bytes around it also starts in a
     document with a smaller doc_id. ``span`` is at least 24. Null and empty
     texts have no bytes. A row without doc_id counts as larger than all others.
     Rows of one doc_id do not remove each other's text. Other columns are
-    ignored.
+    ignored. A text of any length is one piece of its batch. ``crowded`` is the
+    number of occurrences above which the strings of an anchor are dealt out
+    one by one.
     """
     if span < _GRAM:
         raise ValueError(f"span must be at least {_GRAM}")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
     parts = blocks_for(narrow, F.octet_length("text"), batch_bytes)
-    steps = _Steps(span, parts)
+    steps = _Steps(span, parts, crowded)
     batch = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts))
     batches = narrow.select(batch.alias("batch"), "doc_id", "text").repartition(parts, "batch")
-    anchors = batches.groupBy("batch").applyInArrow(lambda rows: steps.anchors(rows), "part bigint, batch bigint, hashes binary")
+    anchors = batches.groupBy("batch").applyInArrow(lambda rows: steps.anchors(rows), "part bigint, batch bigint, hashes binary, more binary")
     repeated = anchors.groupBy("part").applyInArrow(lambda rows: steps.repeated(rows), _REPLIES_DDL)
     snippets = batches.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInArrow(
         lambda rows, replies: steps.snippets(rows, replies),

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eatlas.llm import suffix_dedup
@@ -48,6 +49,47 @@ def test_equal_to_brute_force(spark, seed, alphabet, span):
     assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute(rows, span)
 
 
+@pytest.mark.parametrize("crowded", [0, 2, 5])
+def test_crowded_anchors_equal_brute_force(spark, crowded):
+    for seed, alphabet, span in [(11, "ab", 50), (12, "the of and é\n ", 50), (13, "abcdefgh", 24)]:
+        rows = rows_of(seed, alphabet, span)
+        got = suffix_dedup.span_digest(documents(spark, rows), span, batch_bytes=600, crowded=crowded)
+        assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute(rows, span)
+
+
+def test_no_part_gets_all_strings_of_a_shared_passage(spark):
+    """Documents that share a passage and go on in their own words."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = " ".join(word() for _ in range(12))
+    rows = [(d, " ".join([word() for _ in range(8)] + [passage] + [word() for _ in range(8)])) for d in range(2000)]
+    got = suffix_dedup.span_digest(documents(spark, rows), batch_bytes=40_000, crowded=300)
+    assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute(rows, 50)
+
+    def largest(crowded):
+        parts, held = 16, {}
+        texts = pa.table({"doc_id": [d for d, _ in rows], "text": [t.encode() for _, t in rows]})
+        batches = [suffix_dedup.Batch(texts.slice(a, 250)) for a in range(0, 2000, 250)]
+        sent = {}
+        for b, batch in enumerate(batches):
+            for part, hashes, more in suffix_dedup.batch_anchors(batch, 50, parts):
+                sent.setdefault(part, []).append((b, hashes, more))
+        replies = {b: [] for b in range(len(batches))}
+        for part, lists in sent.items():
+            for b, blob in suffix_dedup.repeated_anchors(*map(list, zip(*lists)), crowded):
+                replies[b].append((part, blob))
+        for b, batch in enumerate(batches):
+            keys = suffix_dedup._repeated_keys(pa.table({"part": [p for p, _ in replies[b]], "hashes": [h for _, h in replies[b]]}))
+            found = suffix_dedup.batch_snippets(batch, 50, parts, keys)
+            for part, content in zip(found.part.tolist(), found.content):
+                held[part] = held.get(part, 0) + len(content)
+        return max(held.values()), sum(held.values()) / parts
+
+    most, mean = largest(300)
+    assert most < 3 * mean
+    assert largest(10**9)[0] > 3 * largest(10**9)[1]
+
+
 def test_one_batch_and_empty_table(spark):
     rows = rows_of(9, "abc ", 50)
     got = suffix_dedup.span_digest(documents(spark, rows))
