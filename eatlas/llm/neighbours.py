@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 
 from ..operators.skew import materialize
 from .common import record_batch
-from .vectors import as_doubles, matrices, most_common_length
+from .vectors import as_doubles, matrices
 
 NEIGHBOURS = 20
 TABLES = 4
@@ -155,25 +156,31 @@ def nearest(vectors: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS) -
     """(query_id, rank, vec_id, score): the nearest rows found for each row whose vec_id ``every`` divides.
 
     ``vectors`` has vec_id and embedding. Null, empty and zero vectors, those
-    with null or non-finite components, rows without vec_id and vectors of
-    another than the usual length take no part. Of rows that share a vec_id
-    the smallest vector counts. All other rows are found if there are no more
-    than ``neighbours``. Other columns are ignored.
+    with null or non-finite components and rows without vec_id take no part.
+    Vectors of different lengths have no product, so each length is searched by
+    itself, with hashing of its own. Of rows that share a vec_id the smallest
+    vector counts. All other rows are found if there are no more than
+    ``neighbours``. Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    most = neighbours + 1  # the query itself may be among them
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), as_doubles().alias("vector"))
     rows = materialize(rows.where("vec_id is not null and vector is not null").groupBy("vec_id").agg(F.min("vector").alias("vector")))
-    dim = most_common_length(rows, "vector")
-    rows = rows.where(F.size("vector") == dim)
+    asked = F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("n")
+    lengths = [r["length"] for r in rows.groupBy(F.size("vector").alias("length")).agg(asked).where("n > 0").orderBy("length").collect()]
+    found = [_nearest_of_length(rows.where(F.size("vector") == length), length, every, neighbours) for length in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_of_length(rows: DataFrame, dim: int, every: int, neighbours: int) -> DataFrame:
+    """:func:`nearest` for rows (vec_id, vector) of one length with at least one query."""
+    most = neighbours + 1  # the query itself may be among them
     copies = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     index = materialize(rows.withColumn("_copy", copies).where(F.col("_copy") <= most).drop("_copy"))
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = materialize(asked.groupBy("vector").agg(F.min("vec_id").alias("query")))
     squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
     largest, n_queries = index.agg(F.max(F.sqrt(squares))).first()[0], queries.count()
-    if not n_queries:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     h = hashing(dim, largest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

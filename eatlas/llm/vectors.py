@@ -25,9 +25,3 @@ def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for length in np.unique(lengths):
         rows = np.flatnonzero(lengths == length)
         yield rows, flat[begin[rows][:, None] + np.arange(length)]
-
-
-def most_common_length(df: DataFrame, vector: str) -> int:
-    """The usual number of components; the larger of equally usual ones, 0 without rows."""
-    counts = df.groupBy(F.size(vector).alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()
-    return counts["n"] if counts else 0

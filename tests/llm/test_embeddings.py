@@ -124,3 +124,25 @@ def test_all_candidates_if_fewer(spark):
     assert got == sorted(want, key=str) and len(got) == 4 * 6
     assert neighbours.nearest(table(spark, [])).count() == 0
     assert neighbours.nearest(table(spark, rows[:1])).count() == 0
+
+
+def test_every_vector_length_is_searched(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, np.float32(rng.standard_normal(8 if i % 3 else 5)).tolist(), 0) for i in range(0, 900, 5)]
+    got = {}
+    for r in neighbours.nearest(table(spark, rows)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    by_id = {i: v for i, v, _ in rows}
+    assert set(got) == {i for i in by_id if i % 20 == 0}
+    hits = total = 0
+    for query, found in got.items():
+        same = [i for i, v in by_id.items() if len(v) == len(by_id[query]) and i != query]
+        exact = sorted(same, key=lambda i: (-float(np.dot(by_id[i], np.array(by_id[query], float))), i))[:20]
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 21)) and all(len(by_id[v]) == len(by_id[query]) for _, v, _ in found)
+        hits, total = hits + len({v for _, v, _ in found} & set(exact)), total + 20
+    assert hits / total >= 0.9
+
+
+def test_nothing_but_unusable_vectors(spark):
+    rows = [(20, None, 0), (40, [0.0] * 4, 0), (60, [float("nan")] * 4, 0), (7, [1.0] * 4, 0)]
+    assert neighbours.nearest(table(spark, rows)).count() == 0
