@@ -99,6 +99,12 @@ select id, ord, name, province, district, address, category,
 from place_standing where c_acctbal >= 500
 """
 
+# What the second source published before: places of its own area, under its own ids.
+VIEWS["previous_home_places"] = """
+select 'incheon-' || cast(ord as string) as id, ord, place_id, status
+from previous_places where latitude between 36.8 and 38.2 and longitude between 124 and 128
+"""
+
 # Search results for every place: the members of its own group, as another
 # provider would list them.
 VIEWS["place_hits"] = """
@@ -158,7 +164,7 @@ join (values (0, '비빔밥'), (1, '콜라'), (2, '짬뽕'), (3, '치즈피자')
 DEPENDENCIES = {
     "places": (), "wrapped_places": ("places",), "menus": (), "requests": (),
     "place_standing": ("places",),
-    "previous_places": ("place_standing",), "next_places": ("place_standing",),
+    "previous_places": ("place_standing",), "previous_home_places": ("previous_places",), "next_places": ("place_standing",),
     "place_hits": ("places",), "local_hits": ("places",), "wide_rows": ("places",),
     "raw_places": ("places",), "raw_menus": (),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters
 from ..functions import fixed_values as V
 
-from ..operators import ingest
+from ..operators import ingest, quality
 from ..operators.skew import materialize
 from ..plans.refresh import refresh_normalized, refresh_wide
 from .base import flat_places, menu_names, places, query, quoted, sql_match, sql_name_key
@@ -117,6 +117,42 @@ def existing_records(spark, sf_dir):
     return found.select("ord", "existing_ord", F.col("tier").cast("bigint").alias("tier"))
 
 
+@query(
+    "reused_records",
+    adapters.ctes("wide_rows", "previous_places")
+    + f""",{_ADAPTED},{_lookup_sql('adapted', 'previous_places')}
+select existing_ord, count(*) as claims, min(ord) as first_ord, cast(min(tier) as bigint) as best_tier from hits group by existing_ord having count(*) > 1""",
+)
+def reused_records(spark, sf_dir):
+    """Records of the previous snapshot that several source rows continue."""
+    rows = materialize(ingest.adapt_wide(_wide(spark, sf_dir)))
+    found = ingest.find_existing(rows, adapters.view(spark, sf_dir, "previous_places"))
+    return ingest.reused_records(found).withColumn("best_tier", F.col("best_tier").cast("bigint"))
+
+
+_ONE_TO_ONE = "claims as (select a.ord, a.tier, k.existing_ord from asked a join known k on a.tier = k.tier and a.key = k.key)," + ",".join(
+    f"""
+won{t} as (
+  select min(ord) as ord, existing_ord, {t} as tier from claims where tier = {t}
+  {"".join(f" and ord not in (select ord from won{u}) and existing_ord not in (select existing_ord from won{u})" for u in range(1, t))}
+  group by existing_ord)"""
+    for t in (1, 2, 3, 4)
+)
+
+
+@query(
+    "continued_records",
+    adapters.ctes("wide_rows", "previous_places")
+    + f",{_ADAPTED},{_lookup_sql('adapted', 'previous_places').replace('hits as', 'best as')},{_ONE_TO_ONE}\n"
+    + " union all ".join(f"select ord, existing_ord, cast(tier as bigint) as tier from won{t}" for t in (1, 2, 3, 4)),
+)
+def continued_records(spark, sf_dir):
+    """The one source row that continues each record of the previous snapshot."""
+    rows = materialize(ingest.adapt_wide(_wide(spark, sf_dir)))
+    found = ingest.continue_one_to_one(rows, adapters.view(spark, sf_dir, "previous_places"))
+    return found.select("ord", "existing_ord", F.col("tier").cast("bigint").alias("tier"))
+
+
 def _previous(spark, sf_dir):
     """The previous snapshot in canonical columns."""
     rows = places(spark, sf_dir)
@@ -224,21 +260,42 @@ def adapted_normalized_places(spark, sf_dir):
     )
 
 
+def _previous_home(spark, sf_dir):
+    """The earlier snapshot of the second source, whole."""
+    own = adapters.view(spark, sf_dir, "previous_home_places").select("ord", F.col("id").alias("_id"))
+    return materialize(_previous(spark, sf_dir).join(own, "ord").withColumn("id", F.col("_id")).drop("_id"))
+
+
 @query(
     "refreshed_normalized_places",
-    adapters.ctes("raw_places", "raw_menus", "previous_places")
+    adapters.ctes("raw_places", "raw_menus", "previous_home_places")
     + f""",{_NORMALIZED}
-select n.id, n.name, p.place_id, p.status from normalized n left join previous_places p on n.id = 'incheon-' || cast(p.ord as string)""",
+select n.id, n.name, p.place_id, p.status from normalized n left join previous_home_places p on n.id = p.id""",
 )
 def refreshed_normalized_places(spark, sf_dir):
     """Source-B refresh: the next snapshot with kept verification."""
-    own_id = F.concat(F.lit(V.HOME_ID_PREFIX), F.col("ord").cast("string"))
-    # Only places the source can know again, so that the size gate is met.
-    previous = _previous(spark, sf_dir).withColumn("id", own_id)
-    known = materialize(
-        previous.where(
-            F.col("latitude").between(*V.BOUNDS_LATITUDE) & F.col("longitude").between(*V.BOUNDS_LONGITUDE)
-        )
-    )
-    done = refresh_normalized(_raw_places(spark, sf_dir), _raw_menus(spark, sf_dir), known)
+    done = refresh_normalized(_raw_places(spark, sf_dir), _raw_menus(spark, sf_dir), _previous_home(spark, sf_dir))
     return done.places.select("id", "name", "place_id", F.col("verification.status").alias("status"))
+
+
+@query(
+    "refresh_gates",
+    adapters.ctes("raw_places", "raw_menus", "previous_places", "previous_home_places")
+    + f""",{_NORMALIZED},
+sizes as (select 'own' as snapshot, count(*) as previous from previous_home_places union all select 'whole', count(*) from previous_places)
+select snapshot, previous, (select count(*) from normalized) as kept, cast(floor(previous * 0.5) as bigint) as needed,
+  (select count(*) from normalized) >= floor(previous * 0.5) as passed from sizes""",
+)
+def refresh_gates(spark, sf_dir):
+    """Whether a source-B refresh may replace its own snapshot, and that it may not replace one of all places."""
+    adapted = ingest.adapt_normalized(_raw_places(spark, sf_dir), _raw_menus(spark, sf_dir))
+    kept = materialize(ingest.preserve_verification(adapted, _previous_home(spark, sf_dir)))
+    snapshots = {"own": "previous_home_places", "whole": "previous_places"}
+    rows = []
+    for name, view in snapshots.items():
+        gate = quality.gate_results(kept, adapters.view(spark, sf_dir, view).select("ord"), {}).where("gate = 'snapshot_size'")
+        rows.append(gate.select(F.lit(name).alias("snapshot"), "value", "needed", "passed"))
+    sizes = [adapters.view(spark, sf_dir, v).agg(F.count(F.lit(1)).alias("previous")).select(F.lit(n).alias("snapshot"), "previous") for n, v in snapshots.items()]
+    return rows[0].unionByName(rows[1]).join(sizes[0].unionByName(sizes[1]), "snapshot").select(
+        "snapshot", "previous", F.col("value").cast("bigint").alias("kept"), F.col("needed").cast("bigint").alias("needed"), "passed"
+    )

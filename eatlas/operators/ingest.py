@@ -99,6 +99,12 @@ def find_existing(rows: DataFrame, existing: DataFrame) -> DataFrame:
     finds nothing. One shuffle serves all four: both sides are keyed by
     (tier, key), and the strongest hit is kept.
     """
+    best = F.min(F.struct("tier", "existing_ord")).alias("best")
+    return _tier_hits(rows, existing).groupBy("ord").agg(best).select("ord", "best.existing_ord", "best.tier")
+
+
+def _tier_hits(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """(ord, tier, existing_ord): the one existing record that has a row's key, tier by tier."""
     known = (
         _tier_keys(existing)
         .groupBy("tier", "key")
@@ -106,10 +112,38 @@ def find_existing(rows: DataFrame, existing: DataFrame) -> DataFrame:
         .where(F.col("n") == 1)
         .drop("n")
     )
-    asked = _tier_keys(rows)
-    hits = asked.join(known, ["tier", "key"], "inner")
-    best = F.min(F.struct("tier", "existing_ord")).alias("best")
-    return hits.groupBy("ord").agg(best).select("ord", "best.existing_ord", "best.tier")
+    return _tier_keys(rows).join(known, ["tier", "key"], "inner").select("ord", "tier", "existing_ord")
+
+
+def reused_records(found: DataFrame) -> DataFrame:
+    """Existing records that several rows continue: (existing_ord, claims, first_ord, best_tier).
+
+    ``found`` comes from :func:`find_existing`, which lets one old id live on in
+    any number of new records; this is the check for it.
+    """
+    claims = found.groupBy("existing_ord").agg(
+        F.count(F.lit(1)).alias("claims"), F.min("ord").alias("first_ord"), F.min("tier").alias("best_tier")
+    )
+    return claims.where(F.col("claims") > 1)
+
+
+def continue_one_to_one(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """:func:`find_existing` with every existing record continued once at most: (ord, existing_ord, tier).
+
+    Stronger keys go first: at each tier, the rows and records that are still
+    free meet, and of the rows that claim one record the first has it; the
+    others try their weaker keys. A key of a tier names one record only, so
+    that is the same as going through all claims by tier and position one by
+    one, in as many steps as there are tiers.
+    """
+    claims = materialize(_tier_hits(rows, existing))
+    taken = claims.limit(0)
+    for tier in (1, 2, 3, 4):
+        free = claims.where(F.col("tier") == tier).join(taken.select("ord"), "ord", "left_anti")
+        free = free.join(taken.select("existing_ord"), "existing_ord", "left_anti")
+        won = free.groupBy("existing_ord").agg(F.min("ord").alias("ord")).withColumn("tier", F.lit(tier))
+        taken = materialize(taken.unionByName(won.select(*taken.columns)))
+    return taken.select("ord", "existing_ord", "tier")
 
 
 _LOCATION = ("latitude", "longitude", "place_id", "place_url", "verification")

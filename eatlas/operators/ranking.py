@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import fixed_values as V
-from ..functions import geo
+from ..functions import geo, sphere
 from ..functions.verification import is_confirmed
 from .skew import materialize
+from .spatial import CELL, FINEST, own_cell, radius_join, with_vector
 
 
 def distributed_row_number(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -167,6 +170,43 @@ def nearest_to_targets(
     return picked.select(F.inline("picked"))
 
 
+def k_nearest(
+    requests: DataFrame, places: DataFrame, k: int, key: str = "request_id", place: str = "id", spread: str = "ord"
+) -> DataFrame:
+    """The ``k`` places nearest to every request: (key, rank, place, distance_meters).
+
+    Ties go to the smaller ``place``; a request has all places if there are
+    fewer than ``k``. Rows without a position take no part; ``key`` and
+    ``place`` are unique.
+
+    A request's cell is widened, from a few metres to a face of the globe's
+    cube, until it holds ``k`` places: they lie no farther than the cell is
+    wide, so the nearest ones lie in that circle, and one radius join finds
+    them. Where no face holds ``k``, the circle is the whole globe. Cells are
+    counted once for all requests, and each task keeps ``k`` rows a request
+    before they are shuffled.
+    """
+    if k <= 0:
+        raise ValueError("at least one place is asked for")
+    located = lambda df: df.where(geo.is_finite(F.col("latitude")) & geo.is_finite(F.col("longitude")))
+    spots = materialize(located(places).select(place, spread, "latitude", "longitude"))
+    asked = materialize(located(requests).select(key, "latitude", "longitude"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(FINEST)))
+    across = F.expr("shiftleft(1L, _zoom)")
+    celled = lambda df: own_cell(with_vector(df.select("latitude", "longitude", *([key] if key in df.columns else []))).withColumn("_zoom", every), across)
+    cell = ["_zoom", *CELL]
+    full = celled(spots).groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).drop("_n")
+    zoomed = celled(asked).join(full, cell, "left_semi").groupBy(key).agg(F.max("_zoom").alias("_zoom"))
+    side = math.pi / 2 * V.EARTH_RADIUS_METERS
+    wide = F.lit(sphere.DIAMETER * side) / F.expr("shiftleft(1L, _zoom)") + 0.01
+    reach = F.coalesce(F.least(wide, F.lit(2 * side)), F.lit(2 * side)) + 0.01
+    circled = asked.join(zoomed, key, "left").select(key, "latitude", "longitude", reach.alias("radius_meters"))
+    near = radius_join(circled, spots, spread=spread)
+    order = W.partitionBy(key).orderBy("distance_meters", place)
+    ranked = near.select(key, place, "distance_meters").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select(key, "rank", place, "distance_meters")
+
+
 def merge_locations(places: DataFrame, addresses: DataFrame) -> DataFrame:
     """Search suggestions per query: places first, then addresses elsewhere.
 

@@ -92,7 +92,7 @@ def radius_join(
     levels = [r["_level"] for r in asked.select("_level").distinct().collect()]
     # A little more than the radius; what lies nearer goes through the exact formula.
     reach = sphere.chord(F.col(radius)) * (1 + 1e-9) + 1e-12
-    covered = covering_cells(with_vector(asked), F.col(radius), _cells_across()).withColumn("_reach", reach * reach)
+    covered = covering_cells(with_vector(asked), F.col(radius), _cells_across()).withColumn("_squared_chord", reach * reach)
     wanted = covered.withColumnsRenamed(
         {"latitude": "request_latitude", "longitude": "request_longitude", **{c: f"_q{c}" for c in VECTOR}}
     )
@@ -128,11 +128,11 @@ def radius_join(
     block = [*cell, "_a", "_o"]
     pairs = (
         wanted.repartition(tasks, *block).join(stored.repartition(tasks, *block), block)
-        .where(_chord_squared() <= F.col("_reach"))
+        .where(_chord_squared() <= F.col("_squared_chord"))
         .withColumn("distance_meters", distance)
         .where(F.col("distance_meters") <= F.col(radius))
     )
-    return pairs.drop(*block, "_reach", *VECTOR, *[f"_q{c}" for c in VECTOR])
+    return pairs.drop(*block, "_squared_chord", *VECTOR, *[f"_q{c}" for c in VECTOR])
 
 
 def nearby_pairs(nodes: DataFrame, keys: list[str], meters: float, carry: list[str]) -> DataFrame:

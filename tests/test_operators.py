@@ -348,3 +348,56 @@ def test_hits_match_in_any_unicode_form(spark):
 def test_no_confirmed_place_fails_loudly(spark):
     with pytest.raises(Exception, match="too few confirmed places"):
         ranking.nearest_to_targets(places(spark), 37.0, 127.0).collect()
+
+
+def test_nearest_places_of_many_requests(spark):
+    rng = random.Random(12)
+    spots = [(37.0 + rng.random() * 0.2, 127.0 + rng.random() * 0.2) for _ in range(60)]
+    spots += [(37.1, 127.1)] * 30 + [(10.0, 179.999), (10.0, -179.998), (89.99, 5.0), (89.98, -170.0), (-45.0, 0.0), (None, 1.0)]
+    asks = [(37.0 + rng.random() * 0.2, 127.0 + rng.random() * 0.2) for _ in range(25)]
+    asks += [(37.1, 127.1), (10.0, 180.0), (90.0, 0.0), (-60.0, -100.0), (0.0, 0.0), (None, 2.0)]
+    rows = spark.createDataFrame([(i, f"p{i:03d}", *s) for i, s in enumerate(spots)], "ord bigint, id string, latitude double, longitude double")
+    requests = spark.createDataFrame([(i, *a) for i, a in enumerate(asks)], "request_id bigint, latitude double, longitude double")
+
+    def meters(a, b):
+        p, q = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6_371_000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    for k in (1, 5, 40, 200):
+        got = {}
+        for r in ranking.k_nearest(requests, rows, k).collect():
+            got.setdefault(r.request_id, []).append((r["rank"], r.id))
+        located = [(i, s) for i, s in enumerate(spots) if s[0] is not None]
+        for n, ask in enumerate(asks):
+            if ask[0] is None:
+                assert n not in got
+                continue
+            near = sorted(located, key=lambda x: (round(meters(ask, x[1]), 6), f"p{x[0]:03d}"))[:k]
+            assert sorted(got[n]) == [(j + 1, f"p{i:03d}") for j, (i, _) in enumerate(near)]
+    with pytest.raises(ValueError):
+        ranking.k_nearest(requests, rows, 0)
+
+
+def test_records_continue_one_to_one(spark):
+    columns = "ord bigint, province string, district string, name string, address string, phone string"
+    existing = spark.createDataFrame(
+        [(100, "p", "d", "가", "길 1", "1"), (101, "p", "d", "나", "길 2", "2"), (102, "p", "d", "다", "길 3", "3"), (103, "p", "e", "다", "길 9", "9")], columns
+    )
+    rows = spark.createDataFrame(
+        [
+            (1, "q", "x", "가", "길 1", None),  # name and address: 100, but row 2 has the stronger key
+            (2, "p", "d", "가", "길 1", None),
+            (3, "p", "d", "가", "길 1", "1"),  # the same strongest key, later
+            (4, "p", "d", "나", "길 7", "2"),  # phone: 101
+            (5, "p", "d", "나", "길 8", None),  # name and district: 101, taken
+            (6, "p", "d", "다", "길 9", None),  # name and address name 103, so not 102
+            (7, "p", "d", "다", "길 5", None),
+        ],
+        columns,
+    )
+    got = sorted(tuple(r) for r in ingest.continue_one_to_one(rows, existing).collect())
+    assert got == [(2, 100, 1), (4, 101, 3), (6, 103, 2), (7, 102, 4)]
+    reused = ingest.reused_records(ingest.find_existing(rows, existing))
+    assert sorted(tuple(r) for r in reused.collect()) == [(100, 3, 1, 1), (101, 2, 4, 3)]
+    assert ingest.continue_one_to_one(rows.limit(0), existing).count() == 0
