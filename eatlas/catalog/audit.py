@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import adapters
 from ..functions import fixed_values as V
 from ..functions.text import name_key
 from ..operators import audit, measurements, ranking, snapshot
-from ..operators.skew import materialize
+from ..operators.skew import materialize, stored_folder
+from ..sources import snapshots
 from .base import (
     _alternatives, flat_places, places, query, quoted, sql_distance, sql_found, sql_match,
     sql_name_key, verification,
@@ -202,6 +205,19 @@ def snapshot_changes(spark, sf_dir):
     return changes.select("change", "id", F.array_join("changed_fields", ",").alias("changed_fields"))
 
 
+@query(
+    "stored_snapshot_changes",
+    adapters.ctes("previous_places", "next_places") + f",{_CHANGES}\nselect change, id, changed_fields from changes",
+)
+def stored_snapshot_changes(spark, sf_dir):
+    """The same from stored snapshots, of which only differing leaves are compared."""
+    folder = f"{stored_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    for name in ("previous_places", "next_places"):
+        snapshots.write_snapshot(_snapshot(spark, sf_dir, name), f"{folder}/{name}", rows_per_leaf=8)
+    changes, _ = snapshots.diff_stored(spark, f"{folder}/previous_places", f"{folder}/next_places")
+    return changes.select("change", "id", F.array_join("changed_fields", ",").alias("changed_fields"))
+
+
 def _changes(spark, sf_dir):
     return snapshot.diff(_snapshot(spark, sf_dir, "previous_places"), _snapshot(spark, sf_dir, "next_places"))
 

@@ -22,6 +22,11 @@ def _comparable(field: str, prefix: str) -> Column:
     return F.when(value.isNotNull(), F.struct(*parts))
 
 
+def compared_values() -> list[Column]:
+    """The compared fields of a place, as they are compared."""
+    return [_comparable(f, "").alias(f) for f in V.COMPARED_FIELDS]
+
+
 def last_by_id(places: DataFrame, rename: str = "") -> DataFrame:
     """The last record of every id, columns prefixed with ``rename``."""
     others = [c for c in places.columns if c not in ("id", "ord")]

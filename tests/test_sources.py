@@ -5,6 +5,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -14,7 +15,8 @@ from eatlas.functions import fixed_values as V  # noqa: E402
 from eatlas.operators.quality import QualityError  # noqa: E402
 from eatlas.operators.spatial import radius_join  # noqa: E402
 from eatlas.plans import serving  # noqa: E402
-from eatlas.sources import readers, reports, tiles  # noqa: E402
+from eatlas.operators import snapshot  # noqa: E402
+from eatlas.sources import readers, reports, snapshots, tiles  # noqa: E402
 from eatlas.operators import matching  # noqa: E402
 from eatlas.streaming.enrichment import HITS, enrich_complete_hits, enrich_landed_hits, outcomes  # noqa: E402
 from tests.test_operators import CONFIRMED, hit, place, places  # noqa: E402
@@ -118,6 +120,35 @@ def test_serving_size(spark):
     assert stats.debug_removed == 1 and stats.bytes_after < stats.bytes_before
 
 
+def test_stored_snapshots_are_compared_where_they_differ(spark, tmp_path):
+    first = places(spark, place(1))
+    columns = [c for c in first.columns if c not in ("id", "ord")]
+    many = spark.range(2000).join(first.select(*columns).withColumn("_k", F.lit(0)), F.col("id") * 0 == F.col("_k"))
+    old = many.select(F.concat(F.lit("r"), "id").alias("id"), F.col("id").alias("ord"), *columns)
+    new = old.where("ord not in (7, 900)").withColumn("phone", F.when(F.col("ord").isin(3, 1500), "9").otherwise(F.col("phone")))
+    # A field that was null becomes the blank text, two fields trade places, one id comes twice, two are new.
+    new = new.withColumn("place_url", F.when(F.col("ord") == 44, "").otherwise(F.col("place_url")))
+    more = old.where("ord < 3").withColumn("id", F.when(F.col("ord") < 2, F.concat(F.lit("n"), "ord")).otherwise(F.lit("r55")))
+    new = new.unionByName(more.withColumn("ord", F.col("ord") + 5000).withColumn("name", F.lit("다른 집")))
+    paths = [str(tmp_path / n) for n in ("old", "new", "small")]
+    snapshots.write_snapshot(old, paths[0], rows_per_leaf=10)
+    snapshots.write_snapshot(new, paths[1], rows_per_leaf=10)
+    changes, compared = snapshots.diff_stored(spark, *paths[:2])
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(changes) == rows(snapshot.diff(old, new).select(*changes.columns))
+    assert 0 < compared.count() < 400
+    same, none = snapshots.diff_stored(spark, paths[0], paths[0])
+    assert same.where("change <> 'unchanged'").count() == 0 and same.count() == 2000 and none.count() == 0
+    # Trees of different depth, and an empty snapshot.
+    few = old.where("ord < 30")
+    snapshots.write_snapshot(few, paths[2], rows_per_leaf=100)
+    assert rows(snapshots.diff_stored(spark, paths[2], paths[1])[0]) == rows(snapshot.diff(few, new).select(*changes.columns))
+    empty = str(tmp_path / "empty")
+    snapshots.write_snapshot(old.limit(0), empty)
+    assert rows(snapshots.diff_stored(spark, empty, paths[2])[0]) == rows(snapshot.diff(old.limit(0), few).select(*changes.columns))
+    assert snapshots.read_snapshot(spark, paths[2]).columns == old.columns
+
+
 def test_reports_keep_history(spark, tmp_path):
     for run in ("20260101", "20260102"):
         reports.write_report(spark.createDataFrame([(run, 1)], "name string, n int"), str(tmp_path), "audit", run)
