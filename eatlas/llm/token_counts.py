@@ -1,12 +1,14 @@
 """Token counts of whole texts, as the tokenizer library gives them.
 
 A text of any length is encoded a chunk at a time. Neighbouring chunks overlap,
-and both encodings come with offsets. They are spliced at a stable boundary: a
-single blank between two characters that are not white space. The tokenizer's
-pattern always splits in front of such a blank, whatever stands further left,
-so the two encodings agree from there on; that both have a token boundary there
-is checked. An overlap without such a place, or where the boundaries disagree,
-is widened until one is found or the text ends.
+and both encodings come with offsets. They are spliced at a stable boundary: in
+front of a single blank or line feed between two characters that are not white
+space, or between a Japanese or Chinese letter and a full stop, comma, mark or
+bracket of that script. The tokenizer's pattern always splits there, whatever
+stands further left, so the two encodings agree from there on; that both have a
+token boundary there is checked. An overlap without such a place, or where the
+boundaries disagree, is widened until one is found or the text ends: a word of
+any length is one piece for the tokenizer, and so it is here.
 
 Within a chunk the pieces between stable boundaries are independent as well, so
 the count of a piece is remembered for the next text that holds it.
@@ -34,6 +36,9 @@ REMEMBERED = 400_000
 # that older Unicode versions counted as such: no boundary is claimed beside them.
 _SPACE = r"[\s\u180e\u200b-\u200d\u2060\ufeff]"
 _STABLE = re.compile(rf"(?<!{_SPACE})(?<!^) (?!{_SPACE})(?!$)")
+# Kana and common ideographs, and what ends a run of them.
+_SCRIPT = "[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]"
+_SPLICE = re.compile(rf"(?<!{_SPACE})(?<!^)[ \n](?!{_SPACE})(?!$)|(?<={_SCRIPT})(?=[\u3001\u3002\u300c-\u300f\uff01\uff0c\uff1f])")
 _UNSAFE = re.compile(rf" {_SPACE}|{_SPACE} ")
 
 
@@ -49,7 +54,7 @@ def _tokenizer(path: str):
 
 def stable_boundary(text: str, start: int, end: int) -> int | None:
     """The first stable boundary in ``text[start:end]``, seen with its neighbours."""
-    found = _STABLE.search(text, max(start, 1), min(end + 1, len(text)))
+    found = _SPLICE.search(text, max(start, 1), min(end + 1, len(text)))
     return found.start() if found and found.start() < end and found.start() + 1 < len(text) else None
 
 

@@ -39,3 +39,14 @@ def test_counts_of_a_table(spark, library):
     got = collected(token_counts.token_counts(documents(spark, rows), PATH, chunk=500), "doc_id", "n_bytes", "n_tokens", "over_limit")
     assert got == sorted(((d, len((t or "").encode()), library(t or ""), library(t or "") > 1024) for d, t in rows), key=str)
     assert token_counts.token_counts(documents(spark, []), PATH).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["A short line, and it's here\n", "今日は良い天気です。明日は、たぶん「雨」でしょう！", "word ", "tab\tand\r\nline 7\n"])
+def test_long_texts_go_in_chunks(unit):
+    """Lines, a script without blanks, and words: no call encodes much more than a chunk."""
+    counter = token_counts.Counter(PATH, chunk=2000, overlap=64)
+    text, seen = unit * (40_000 // len(unit)), []
+    encode = counter._boundaries
+    counter._boundaries = lambda t, a, b: seen.append(b - a) or encode(t, a, b)
+    assert counter.long(text) == len(token_counts._tokenizer(PATH).encode(text, add_special_tokens=False))
+    assert max(seen) <= 2000 + 64 + len(unit)
