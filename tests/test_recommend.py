@@ -164,6 +164,32 @@ def test_pick_position_is_clamped(spark):
     assert [r.p for r in df.select(R.pick_position(F.col("u"), F.col("n")).alias("p")).collect()] == [1, 4, 4, 1, 4, None]
 
 
+def test_draws_by_number(spark):
+    sizes = {"a": 37, "b": 1, "c": 2, "d": 3, "e": 500, "f": 4}
+    draws = {"a": 10_000, "b": 5, "c": 9, "d": 400, "e": 20, "f": 0, "g": 3}
+    options = spark.createDataFrame([(s, f"{s}{i}") for s, n in sizes.items() for i in range(n)] + [("a", "a0")], "s string, i string")
+    sessions = spark.createDataFrame(list(draws.items()), "s string, draws bigint")
+    picked = R.nth_draws(options, sessions, "s", "i", "x")
+    got, firsts = {}, set()
+    for r in sorted(picked.collect(), key=lambda r: (r.s, r.draw_no)):
+        got.setdefault(r.s, []).append(r)
+    assert {s: len(rows) for s, rows in got.items()} == {s: n for s, n in draws.items() if n and s in sizes}
+    for s, rows in got.items():
+        n = sizes[s]
+        assert [r.draw_no for r in rows] == list(range(1, draws[s] + 1)) and all(r.cycle == (r.draw_no - 1) // n for r in rows)
+        for start in range(0, len(rows), n):
+            part = [r.i for r in rows[start : start + n]]
+            assert len(part) == len(set(part)) and (len(part) < n or set(part) == {f"{s}{i}" for i in range(n)})
+            firsts.add((s, part[0]))
+        assert n == 1 or all(a.i != b.i for a, b in zip(rows, rows[1:]))
+    # Every option of the longest session leads some cycle.
+    assert len([1 for s, _ in firsts if s == "a"]) > 30
+    assert picked.where("s = 'a'").count() == 10_000
+    again = R.nth_draws(options.repartition(3), sessions, "s", "i", "x")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, picked.collect()))
+    assert sorted(map(tuple, R.nth_draws(options, sessions, "s", "i", "y").collect())) != sorted(map(tuple, picked.collect()))
+
+
 def test_draw_cycles(spark):
     sizes = {"one": 1, "two": 2, "three": 3, "five": 5, "many": 40}
     options = spark.createDataFrame([(s, f"i{k}") for s, n in sizes.items() for k in range(n)], "s string, i string")
