@@ -11,6 +11,7 @@ from ..functions import fixed_values as V
 from ..functions.text import name_key
 from ..operators import audit, measurements, ranking, snapshot
 from ..operators.skew import materialize, stored_folder
+from ..plans import auditing
 from ..sources import snapshots
 from .base import (
     _alternatives, flat_places, places, query, quoted, sql_distance, sql_found, sql_match,
@@ -205,6 +206,41 @@ def snapshot_changes(spark, sf_dir):
     return changes.select("change", "id", F.array_join("changed_fields", ",").alias("changed_fields"))
 
 
+_PROVINCES = ("인천광역시", "서울특별시", "경기도", "부산광역시")
+
+
+@query(
+    "source_audits",
+    adapters.ctes("places", "menus")
+    + f""",{JOINED},{_REVIEWS},{_SIDES},
+base as (select * from places where id in (select id from menus)),
+ids as (select province, count(*) as n from base where place_id <> '' group by province, place_id having count(*) > 1),
+keys as (select province, count(*) as n from base group by province, {_PLACE_KEY} having count(*) > 1),
+kept as (select province, count(*) filter (ord = cluster) as kept, count(*) filter (ord = cluster and cluster_size > 1) as groups,
+  count(*) filter (ord <> cluster) as removed from sized where id in (select id from base) group by province),
+suspect as (select province, count(*) as n, count(distinct s.id) as places from sides s join places p on s.id = p.id where reason is not null group by province),
+reviewed as (select province, count(*) as n from reviews r join places p on r.id = p.id group by province),
+totals as (
+  select province, count(*) as total_places, count(*) filter (place_id <> '') as with_place_id, count(*) filter ({_CONFIRMED}) as confirmed,
+    count(*) filter (not {_CONFIRMED}) as unconfirmed, round(count(*) filter ({_CONFIRMED}) * 100.0 / count(*), 1) as confirmed_rate,
+    count(*) filter (place_id <> '' and status is null) as legacy_place_ids, count(*) filter (status = 'unverified') as checked_unverified,
+    count(*) filter (status is null) as unchecked, count(distinct place_id) filter ({_CONFIRMED}) as verified_candidates from base group by province)
+select t.province as source, t.* exclude (province), t.confirmed - verified_candidates as verified_removed,
+  (select count(*) from ids i where i.province = t.province) as duplicate_place_id_groups,
+  (select cast(coalesce(sum(n), 0) as bigint) from ids i where i.province = t.province) as duplicate_place_id_records,
+  (select count(*) from keys i where i.province = t.province) as duplicate_name_address_groups,
+  (select cast(coalesce(sum(n), 0) as bigint) from keys i where i.province = t.province) as duplicate_name_address_records,
+  kept.kept as deduplicated, kept.groups as dedup_groups, kept.removed as removed_duplicates,
+  coalesce(s.n, 0) as side_menu_entries, coalesce(s.places, 0) as places_with_side_menus, coalesce(r.n, 0) as category_reviews
+from totals t join kept on kept.province = t.province left join suspect s on s.province = t.province left join reviewed r on r.province = t.province""",
+)
+def source_audits(spark, sf_dir):
+    """Audit numbers of four sources from one job, read back from the report that it keeps."""
+    everyone = materialize(places(spark, sf_dir))
+    sources = {name: everyone.where(F.col("province") == name) for name in _PROVINCES}
+    return auditing.audit_sources(sources, reports_root=f"{stored_folder(spark)}/reports-{uuid.uuid4().hex}", run="20260101")
+
+
 @query(
     "stored_snapshot_changes",
     adapters.ctes("previous_places", "next_places") + f",{_CHANGES}\nselect change, id, changed_fields from changes",

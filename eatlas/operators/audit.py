@@ -9,7 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import menus, text
 from ..functions.verification import has_place_id, is_checked_unverified, is_confirmed
 from . import dedup
-from .skew import computed_once
+from .skew import computed_once, materialize
 from .snapshot import _side_by_side
 
 
@@ -128,6 +128,69 @@ def summary(places: DataFrame, max_side_price: float = V.SIDE_MENU_MAX_PRICE) ->
     return _side_by_side(counts, by_place, by_address, merged, verified, sides, reviews)
 
 
+def summaries(places: DataFrame, by: str = "source", max_side_price: float = V.SIDE_MENU_MAX_PRICE) -> DataFrame:
+    """:func:`summary` of every value of ``by``, one row each, whatever their number.
+
+    Duplicates are looked for within a value; ``ord`` must be unique over all.
+    Places are read once: what the numbers go by is stored as one narrow row a
+    place, with its keys and flags.
+    """
+    check, place_id = F.col("verification"), F.col("place_id")
+    confirmed, with_id = is_confirmed(place_id, check), has_place_id(place_id)
+    suggested = menus.first_match(F.col("_text"), V.AUDIT_CATEGORY_RULES)
+    texts = computed_once(places, _text=menus.audit_text(F.col("name"), F.col("menus")))
+    judged = computed_once(texts, _suggested=suggested)
+    is_side = lambda m: menus.side_menu_reason(m["name"], m["price"], max_side_price).isNotNull()
+    flags = materialize(
+        judged.select(
+            by,
+            F.when(confirmed, place_id).alias("_sure_id"),
+            with_id.alias("_with_id"),
+            confirmed.alias("_confirmed"),
+            (with_id & check.isNull()).alias("_legacy"),
+            is_checked_unverified(check).alias("_failed"),
+            check.isNull().alias("_unchecked"),
+            text.trim_space(F.coalesce(place_id, F.lit(""))).alias("_place_key"),
+            name_address().alias("_address_key"),
+            F.size(F.filter(F.coalesce("menus", F.array().cast(places.schema["menus"].dataType)), is_side)).cast("bigint").alias("_sides"),
+            (F.col("_suggested").isNotNull() & ~F.col("category").eqNullSafe(F.col("_suggested"))).alias("_review"),
+        )
+    )
+    total = F.count(F.lit(1))
+    counts = flags.groupBy(by).agg(
+        total.alias("total_places"),
+        F.count_if("_with_id").alias("with_place_id"),
+        F.count_if("_confirmed").alias("confirmed"),
+        F.count_if(~F.col("_confirmed")).alias("unconfirmed"),
+        F.round(F.count_if("_confirmed") * 100 / total, 1).alias("confirmed_rate"),
+        F.count_if("_legacy").alias("legacy_place_ids"),
+        F.count_if("_failed").alias("checked_unverified"),
+        F.count_if("_unchecked").alias("unchecked"),
+        F.sum("_sides").alias("side_menu_entries"),
+        F.count_if(F.col("_sides") > 0).alias("places_with_side_menus"),
+        F.count_if("_review").alias("category_reviews"),
+    )
+
+    def repeated(key: str, prefix: str) -> DataFrame:
+        groups = flags.where(F.length(key) > 0).groupBy(by, key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        return groups.groupBy(by).agg(F.count(F.lit(1)).alias(f"{prefix}_groups"), F.sum("_n").alias(f"{prefix}_records"))
+
+    by_id = flags.where("_sure_id is not null").groupBy(by, "_sure_id").agg(F.count(F.lit(1)).alias("_n"))
+    verified = by_id.groupBy(by).agg(F.count(F.lit(1)).alias("verified_candidates"), F.sum(F.col("_n") - 1).alias("verified_removed"))
+    resolved = dedup.resolve(places, scope=by).join(places.select("ord", by), "ord")
+    first = F.col("ord") == F.col("cluster")
+    merged = resolved.groupBy(by).agg(
+        F.count_if(first).alias("deduplicated"),
+        F.count_if(first & (F.col("cluster_size") > 1)).alias("dedup_groups"),
+        F.count_if(~first).alias("removed_duplicates"),
+    )
+    for part in (repeated("_place_key", "duplicate_place_id"), repeated("_address_key", "duplicate_name_address"), verified, merged):
+        added = [c for c in part.columns if c != by]
+        same = F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}"))
+        counts = counts.alias("a").join(part.alias("b"), same, "left").select("a.*", *[F.coalesce(F.col(f"b.{c}"), F.lit(0)).alias(c) for c in added])
+    return counts
+
+
 def _merge_counts(resolved: DataFrame, kept: str, groups: str, removed: str) -> DataFrame:
     first = F.col("ord") == F.col("cluster")
     return resolved.agg(

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from eatlas import schema
 from eatlas.functions import text
 from eatlas.operators import audit, ingest, matching, measurements, quality, ranking, skew, snapshot
-from eatlas.plans import enrichment
+from eatlas.plans import auditing, enrichment
 from eatlas.plans.refresh import refresh_normalized, refresh_wide
+from eatlas.sources import reports
 
 CONFIRMED = ("kakao", "confirmed", "name-address", 1.0, "t1")
 UNVERIFIED = ("kakao", "unverified", None, None, "t1")
@@ -401,3 +402,20 @@ def test_records_continue_one_to_one(spark):
     reused = ingest.reused_records(ingest.find_existing(rows, existing))
     assert sorted(tuple(r) for r in reused.collect()) == [(100, 3, 1, 1), (101, 2, 4, 3)]
     assert ingest.continue_one_to_one(rows.limit(0), existing).count() == 0
+
+
+def test_audits_of_several_sources_in_one_job(spark, tmp_path):
+    own = places(spark, place(1), place(2), place(3, check=CONFIRMED, place_id="7"), place(4, check=CONFIRMED, place_id="7"))
+    other = places(spark, place(1, name="다른 집"), place(2, place_id="9"), place(5, menus=[("공기밥", 1000), ("국밥", 9000)]))
+    sources = {"a": own, "b": other}
+    got = {r.source: r.asDict() for r in auditing.audit_sources(sources).collect()}
+    for name, rows in sources.items():
+        assert got[name] == {"source": name, **audit.summary(rows).first().asDict()}
+    root = str(tmp_path / "reports")
+    for run in ("20260101", "20260102"):
+        kept = auditing.audit_sources(sources, reports_root=root, run=run)
+        assert {r.source: r.asDict() for r in kept.collect()} == got
+    assert reports.read_reports(spark, root, "audit").count() == 4
+    assert reports.latest_report(spark, root, "audit").where("run = '20260102'").count() == 2
+    with pytest.raises(Exception, match="exist"):
+        auditing.audit_sources(sources, reports_root=root, run="20260101")
