@@ -129,7 +129,7 @@ def _requested(spark, sf_dir):
 
 @query(
     "gates",
-    adapters.ctes("places", "raw_menus")
+    adapters.ctes("places", "raw_menus", "requests")
     + f""",
 sums as (
   select (select count(*) from places) as n, (select count(*) from places where status = 'confirmed' and place_id <> '') as s,
@@ -137,11 +137,16 @@ sums as (
 select 'confirmed_coverage' as gate, true as passed, cast(1 as double) as value, cast({V.MIN_CONFIRMED_COVERAGE} as double) as needed from sums
 union all select 'snapshot_size', s >= floor(n * {V.MIN_SNAPSHOT_RATIO}) and s > 0, s, floor(n * {V.MIN_SNAPSHOT_RATIO}) from sums
 union all select 'import_size:menus', m >= {V.MIN_IMPORT_ROWS}, m, {V.MIN_IMPORT_ROWS} from sums
-union all select 'import_size:nations', c >= {V.MIN_IMPORT_ROWS}, c, {V.MIN_IMPORT_ROWS} from sums""",
+union all select 'import_size:nations', c >= {V.MIN_IMPORT_ROWS}, c, {V.MIN_IMPORT_ROWS} from sums
+union all select 'located:places', count(*) = 0, count(*), 0 from places where latitude is null or longitude is null
+union all select 'located:requests', count(*) = 0, count(*), 0 from requests where latitude is null or longitude is null""",
 )
 def gates(spark, sf_dir):
-    """Gates when only the confirmed places are left of a snapshot, and for a long and a short import."""
+    """Gates when only the confirmed places are left of a snapshot, for a long and a short import, and for positions that miss."""
     everyone = flat_places(spark, sf_dir)
     sure = quality.select_for_build(everyone, min_coverage=0.0)
     imports = {"menus": adapters.view(spark, sf_dir, "raw_menus"), "nations": adapters.table(spark, sf_dir, "nation")}
-    return quality.gate_results(sure, everyone, imports)
+    located = quality.location_gate(everyone, "located:places").unionByName(
+        quality.location_gate(adapters.view(spark, sf_dir, "requests"), "located:requests")
+    )
+    return quality.gate_results(sure, everyone, imports).unionByName(located)

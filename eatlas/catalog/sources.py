@@ -101,3 +101,18 @@ def landed_wide_pages(spark, sf_dir):
     pages = rows.groupBy(F.floor(F.col("ord") / 4000).alias("part")).agg(F.to_json(page).alias("value"))
     got = readers.read_wide_pages(spark, _one_file_each(pages, _folder(spark)))
     return got.select(*[F.col(f"`{named[c]}`").alias(c) for c in ("name", "address", "menu1", "price1", "menu4", "price4")])
+
+
+@query(
+    "landed_body_pages",
+    adapters.ctes("raw_menus") + "\nselect RSTR_ID as place, MENU_NM as name, MENU_PRC as price, RGN_NM as region from raw_menus",
+)
+def landed_body_pages(spark, sf_dir):
+    """Source-B menus landed as API pages."""
+    rows = _upper(adapters.view(spark, sf_dir, "raw_menus"))
+    columns = ("RSTR_ID", "MENU_NM", "MENU_PRC", "RGN_NM")
+    header = F.struct(F.lit("00").alias("resultCode"), F.lit(rows.count()).alias("totalCount"))
+    page = F.struct(header.alias("header"), F.collect_list(F.struct(*columns)).alias("body"))
+    pages = rows.groupBy(F.floor(F.col("MENU_ORD") / 4000).alias("part")).agg(F.to_json(page).alias("value"))
+    got = readers.read_body_pages(spark, _one_file_each(pages, _folder(spark)), {c: c for c in columns}, "menu_ord")
+    return got.select(*[F.col(c).alias(n) for c, n in zip(columns, ("place", "name", "price", "region"), strict=True)])

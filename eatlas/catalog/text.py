@@ -252,14 +252,14 @@ def search_plan(spark, sf_dir):
     "map_links",
     adapters.ctes("places")
     + f"""
-select id, coalesce({quoted(V.MAP_LINK_PREFIX)} || place_id, {quoted(V.MAP_SEARCH_PREFIX)} || replace(replace(url_encode(name || ' ' || district), '%28', '('), '%29', ')')) as link
+select id, coalesce(case when ord % 3 = 0 then 'https://place.example.org/' || cast(ord as varchar) end, {quoted(V.MAP_LINK_PREFIX)} || place_id, {quoted(V.MAP_SEARCH_PREFIX)} || replace(replace(url_encode(name || ' ' || district), '%28', '('), '%29', ')')) as link
 from places""",
 )
 def map_links(spark, sf_dir):
-    """Link of every place: id page or search page."""
+    """Link of every place: its own page, id page or search page."""
+    own = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("https://place.example.org/"), F.col("ord").cast("string")))
     return flat_places(spark, sf_dir).select(
-        "id",
-        text.map_link(F.lit(None).cast("string"), F.col("place_id"), F.col("name"), F.col("district")).alias("link"),
+        "id", text.map_link(own, F.col("place_id"), F.col("name"), F.col("district")).alias("link")
     )
 
 

@@ -158,29 +158,11 @@ def display_category(category: Column, name: Column, menus: Column, place_id: Co
     )
 
 
-def business_category(business_type: Column, license_type: Column, menu_key_text: Column) -> Column:
-    """Source-B category: business type first, then the menu words."""
-    kind = name_key(F.concat_ws(" ", F.coalesce(business_type, F.lit("")), F.coalesce(license_type, F.lit(""))))
-    return F.coalesce(
-        first_match(kind, V.BUSINESS_TYPE_RULES),
-        first_match(menu_key_text, V.MENU_KEY_RULES),
-        F.lit(V.OTHER_SOURCE_CATEGORY),
-    )
-
-
 def audit_text(name: Column, menus: Column) -> Column:
     names = F.array_join(F.transform(menus, lambda m: F.coalesce(m["name"], F.lit(""))), " ")
     return trim_space(F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(names, F.lit(""))))
 
 
-def suggested_category(name: Column, menus: Column) -> Column:
-    return first_match(audit_text(name, menus), V.AUDIT_CATEGORY_RULES)
-
-
-def suggestion_evidence(name: Column, menus: Column) -> Column:
-    return first_evidence(audit_text(name, menus), V.AUDIT_CATEGORY_RULES)
-
-
 def side_menu_reason(name: Column, price: Column, max_price: float = V.SIDE_MENU_MAX_PRICE) -> Column:
     """Why a cheap menu looks like a side charge, else NULL."""
     text = trim_space(F.coalesce(name, F.lit("")))

@@ -240,7 +240,13 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
-@pytest.mark.parametrize("name", ["candidates", "snapshot_changes", "best_place_hits", "classification"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "candidates", "snapshot_changes", "best_place_hits", "classification", "wrapped_clusters", "continued_records", "gates",
+        "nearest_places", "serving_size", "landed_body_pages", "map_links",
+    ],
+)
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
