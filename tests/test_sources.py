@@ -17,7 +17,7 @@ from eatlas.operators.spatial import radius_join  # noqa: E402
 from eatlas.plans import serving  # noqa: E402
 from eatlas.operators import snapshot  # noqa: E402
 from eatlas.sources import readers, reports, snapshots, tiles  # noqa: E402
-from eatlas.operators import matching  # noqa: E402
+from eatlas.operators import matching, recommend  # noqa: E402
 from eatlas.streaming.enrichment import HITS, enrich_complete_hits, enrich_landed_hits, outcomes  # noqa: E402
 from tests.test_operators import CONFIRMED, hit, place, places  # noqa: E402
 
@@ -91,8 +91,10 @@ def test_build_and_answer(spark, tmp_path):
         "request_id bigint, latitude double, longitude double, category string, budget double, travel_mode string, time_limit string")
     found = serving.answer_requests(spark, requests, root, "good-price")
     assert sorted(r.id for r in found.collect()) == ["r1", "r4"]
-    plan = found._jdf.queryExecution().toString()
-    assert "dynamicpruning" in plan
+    # Only the folders of reachable tiles are scanned.
+    wanted = recommend.with_limit(recommend.ready(requests))
+    scan = tiles.read_tiles(spark, root, "good-price", tiles.required_tiles(wanted))
+    assert "dynamicpruning" in scan._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(QualityError):
         serving.build_tiles(rows, root, "elsewhere", "3")
     # A build that was written but never published is not seen.
