@@ -203,3 +203,11 @@ def test_draw_cycles(spark):
                 assert len(set(cycle)) == len(cycle)
             if n > 1:
                 assert all(a != b for a, b in zip(picks, picks[1:]))
+
+
+def test_no_pair_is_joined_again(spark):
+    requests = spark.createDataFrame([(1, 37.0, 127.0, "전체", 10000.0, "walking", "10")], REQUESTS)
+    found = R.candidates(requests, R.classify(sample_places(spark)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Join [" in line)
+    assert "cell_face" in last
