@@ -211,3 +211,18 @@ def test_no_pair_is_joined_again(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     last = next(line for line in plan.splitlines() if "Join [" in line)
     assert "cell_face" in last
+
+
+def test_undominated_requests_have_all_options(spark):
+    rng = random.Random(5)
+    rows = [
+        (n, n % 4, 37.0, 127.0, rng.choice(["전체", "한식", None]), rng.choice([7000.0, 9000.0, 15000.0, math.inf]),
+         rng.choice(["walking", "driving"]), rng.choice(["10", "20", "wide", "x"]))
+        for n in range(120)
+    ]
+    requests = spark.createDataFrame(rows, REQUESTS.replace("request_id bigint,", "request_id bigint, user_id bigint,"))
+    classified = R.classify(sample_places(spark))
+    kept = R.undominated(requests, "user_id")
+    options = lambda df: {(r.user_id, r.id) for r in R.candidates(df, classified).collect()}
+    assert kept.columns == requests.columns and kept.count() <= 4 * 2 * 4
+    assert options(kept) == options(requests) != set()
