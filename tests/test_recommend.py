@@ -1,5 +1,6 @@
 """Radius joins, candidates, easing, cards and draws."""
 
+import collections
 import math
 import random
 
@@ -226,3 +227,64 @@ def test_undominated_requests_have_all_options(spark):
     options = lambda df: {(r.user_id, r.id) for r in R.candidates(df, classified).collect()}
     assert kept.columns == requests.columns and kept.count() <= 4 * 2 * 4
     assert options(kept) == options(requests) != set()
+
+
+def _sums(rows, *names):
+    return sorted((tuple(r[n] for n in names) for r in rows.collect()), key=repr)
+
+
+def test_requests_of_one_kind_are_joined_once(spark):
+    """Rows that travel through the join are kinds of requests, cut into pieces; each request gets its own back."""
+    rows = [(i % 7, i, 37.0 + (i % 2) / 100, 127.0, "한식", 10000.0 + (i % 3), "driving", "10") for i in range(60)]
+    asked = spark.createDataFrame(
+        [*rows, (1, 99, 37.0, 127.0, None, 1.0, "driving", "10")],
+        "request_id long, user_id long, latitude double, longitude double, category string, budget double, travel_mode string, time_limit string",
+    )
+    assert R.alike(asked).count() == 6
+    cut = R.alike(asked, members=3)
+    assert 6 < cut.count() < 60
+    assert _sums(R.each_member(cut), "request_id", "user_id", "latitude", "budget") == sorted([(r[0], r[1], r[2], r[5]) for r in rows], key=repr)
+
+
+def test_repeated_keys_share_a_kind_only_if_they_want_the_same(spark):
+    kind = (37.0, 127.0, "한식", 10000.0, "driving", "10")
+    other = (37.0, 127.0, "한식", 20000.0, "driving", "10")
+    schema = "request_id long, latitude double, longitude double, category string, budget double, travel_mode string, time_limit string"
+    asked = spark.createDataFrame([(1, *kind), (2, *kind), (3, *kind), (3, *other), (4, *other), (4, *kind), (5, *kind), (5, *kind), (None, *kind)], schema)
+    wants, named = R.kinds_of(asked, "request_id")
+    kinds = {r["request_id"]: r["kind"] for r in named.collect()}
+    assert kinds[1] == kinds[2] and kinds[3] == kinds[4] and len(set(kinds.values())) == 3 and set(kinds) == {1, 2, 3, 4, 5}
+    assert wants.where(wants.kind == kinds[5]).count() == 2 and wants.count() == 1 + 2 + 2
+
+
+def test_routes_that_stand_for_several_count_as_often(spark):
+    from eatlas.operators import measurements
+
+    rows = [("a", 1000.0, 1500.0, 100.0, 3), ("b", 5000.0, 5500.0, 900.0, 1), ("c", 9000.0, 9900.0, 1500.0, 2)]
+    schema = "id string, straight_meters double, route_meters double, route_seconds double, times long"
+    once = spark.createDataFrame(rows, schema)
+    every = spark.createDataFrame([r for r in rows for _ in range(r[4])], schema)
+    short = measurements.route_summary(measurements.route_samples(once, "times"), "times").collect()
+    assert short == measurements.route_summary(measurements.route_samples(every)).collect() and short[0]["sample_count"] == 6
+
+
+def test_violations_with_more_budgets_than_a_row_holds(spark, monkeypatch):
+    """Repeated request ids add up, and budgets of one position are cut into pieces."""
+    monkeypatch.setattr(R, "_BUDGETS_PER_ROW", 2)
+    places = [(i, 37.0 + i / 1000, 127.0, ("한식", "중식")[i % 2], 1000 * i, False, False) for i in range(30)]
+    classified = spark.createDataFrame(
+        places, "ord long, latitude double, longitude double, display_category string, min_meal_price long, is_cafe boolean, is_retail boolean"
+    )
+    asked = [(i % 9, 37.0, 127.0, ("한식", "전체")[i % 2], float(2500 * (i % 6)), "walking", ("10", "wide")[i % 3 > 0]) for i in range(20)]
+    requests = spark.createDataFrame(
+        asked, "request_id long, latitude double, longitude double, category string, budget double, travel_mode string, time_limit string"
+    )
+    pairs = collections.Counter()
+    for request, _, _, category, budget, _, limit in asked:
+        for _, latitude, _, kind, price, _, _ in places:
+            meters = (latitude - 37.0) * 111194.93
+            if meters <= 2000:
+                mask = (category not in ("전체", kind)) + 2 * (price > budget) + 4 * (meters > (2000 if limit == "wide" else 4000 / 6))
+                pairs[request, mask] += 1
+    got = {(r["request_id"], r["mask"]): r["places"] for r in R.violations(requests, classified).collect()}
+    assert got == dict(pairs)
