@@ -10,10 +10,11 @@ from .ranking import exact_at_ranks, nearest_rank
 from .snapshot import _side_by_side
 
 
-def route_samples(routes: DataFrame) -> DataFrame:
+def route_samples(routes: DataFrame, times: str | None = None) -> DataFrame:
     """Estimated against actual driving time of landed routes.
 
-    ``routes``: id, straight_meters, route_meters, route_seconds.
+    ``routes``: id, straight_meters, route_meters, route_seconds, and perhaps
+    ``times``, how many routes a row stands for.
     """
     estimate = geo.driving_minutes(F.col("straight_meters"))
     actual = F.greatest(F.lit(1), F.ceil(F.col("route_seconds") / 60)).cast("bigint")
@@ -25,30 +26,37 @@ def route_samples(routes: DataFrame) -> DataFrame:
         estimate.alias("estimated_minutes"),
         actual.alias("actual_minutes"),
         (estimate - actual).alias("error_minutes"),
+        *([] if times is None else [times]),
     )
 
 
-def route_summary(samples: DataFrame) -> DataFrame:
-    """Error summary of travel estimates as one row; zeros without samples."""
-    error = F.col("error_minutes")
+def route_summary(samples: DataFrame, times: str | None = None) -> DataFrame:
+    """Error summary of travel estimates as one row; zeros without samples.
+
+    A row counts as often as its column ``times`` says (default: once).
+    """
+    error, n = F.col("error_minutes"), F.lit(1) if times is None else F.col(times)
     zero = lambda c: F.coalesce(c, F.lit(0))
+    mean = lambda c: F.sum(c * n) / F.sum(F.when(c.isNotNull(), n))
+    count = lambda c: zero(F.sum(F.when(c, n))).cast("bigint")
     sums = samples.agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        F.round(zero(F.avg("multiplier")), 2).alias("mean_multiplier"),
-        F.round(zero(F.avg(error)), 1).alias("mean_error"),
-        F.round(zero(F.avg(F.abs(error))), 1).alias("mean_absolute_error"),
+        count(F.lit(True)).alias("sample_count"),
+        F.round(zero(mean(F.col("multiplier"))), 2).alias("mean_multiplier"),
+        F.round(zero(mean(error)), 1).alias("mean_error"),
+        F.round(zero(mean(F.abs(error))), 1).alias("mean_absolute_error"),
         zero(F.max(F.abs(error))).cast("bigint").alias("max_absolute_error"),
-        F.count_if(error < 0).alias("underestimated"),
-        F.count_if(F.abs(error) <= 2).alias("within_two_minutes"),
+        count(error < 0).alias("underestimated"),
+        count(F.abs(error) <= 2).alias("within_two_minutes"),
     )
     middle = exact_at_ranks(
-        samples.select(F.abs(error).cast("double").alias("error")),
+        samples.select(F.abs(error).cast("double").alias("error"), n.alias("times")),
         [],
         "error",
         {
             "low": (0.5, F.floor((F.col("n") + 1) / 2).cast("bigint")),
             "high": (0.5, F.floor(F.col("n") / 2).cast("bigint") + 1),
         },
+        "times",
     ).agg(F.max("low").alias("low"), F.max("high").alias("high"))
     median = middle.select(F.round(zero((F.col("low") + F.col("high")) / 2), 1).alias("median_absolute_error"))
     return _side_by_side(sums, median)
