@@ -1,9 +1,10 @@
 """Near duplicates by the Jaccard similarity of their word shingles.
 
-Candidates come from MinHash bands and every link is checked on the whole sets
-of shingles. SimHash cannot give the candidates here: texts at similarity 0.8
-differ in some ten of 64 bits, and no choice of blocks that so many flips spare
-is long enough to tell texts apart.
+Candidates come first from the SimHash index of ``simhash`` over the same
+shingles, which joins copies and texts that differ little; every link is checked
+on the whole sets of shingles. Texts at similarity 0.8 differ in some ten of 64
+bits, and no choice of blocks that so many flips spare is long enough to tell
+texts apart, so MinHash bands find what the index leaves apart.
 
 Texts of equal sets are one node. Nodes that share a bucket (a band's hash) are
 compared until the links join them: first each node with one centre of its
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from ..operators.skew import materialize
 from .common import RowBuffer, packed, record_batch, rows_of, text_bytes, unpacked
 from .components import components
-from .simhash import word_runs
+from .simhash import fingerprints, near_links, word_runs
 
 # Of pairs at exactly the similarity wanted, the share that no band brings together.
 MISSED = 0.001
@@ -246,16 +247,32 @@ def _block_links(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return dealt.select(*_BLOCK, "outside", "node", "component", "hashes").mapInArrow(run, "a binary, b binary")
 
 
+def _simhash_pairs(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(a, b): nodes joined by the SimHash index: those of one fingerprint with the first of them, and first ones of near fingerprints."""
+    read = classes.where("n > 0").select("doc_id", "version", "node")
+    # Rows may repeat; every one of a node has its shingles.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _version().alias("version"), "text")
+    rows = texts.join(read.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+    stored = fingerprints(rows.select("doc_id", "text"), size).distinct().join(read, ["doc_id", "version"])
+    marked = materialize(stored.select("node", "fp"))
+    firsts = materialize(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    copies = marked.join(firsts, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = near_links(firsts.select("fp", F.col("fp").alias("rep")))
+    first = lambda name: firsts.select(F.col("fp").alias(name), F.col("first").alias(f"_{name}"))
+    return copies.unionByName(near.join(first("a"), "a").join(first("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def _links(docs: DataFrame, classes: DataFrame, size: int, similarity: float, block_nodes: int, block_shingles: int) -> DataFrame:
     """(a, b): links that join all nodes that share a bucket and are alike, or are joined by such nodes."""
     every = classes.select("node", "n", F.explode(F.array_distinct("buckets")).alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     members = materialize(every.join(shared.select("bucket"), "bucket", "left_semi").select("bucket", "node", "n"))
-    candidates = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version")
+    close = materialize(_simhash_pairs(docs, classes, size))
+    asked = members.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    candidates = classes.join(asked, "node", "left_semi").select("node", "doc_id", "version")
     sets = materialize(_sets(docs, candidates, size))
-    links = materialize(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    # At first every node is a component, and every bucket holds several.
-    named, before, turn = members.withColumn("component", F.col("node")), 0, 0
+    links = materialize(_confirmed(close, sets, similarity))
+    named, before, turn = _named(members, links), 0, 0
     while True:
         mark = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")
         centres = named.groupBy("bucket").agg(F.min(mark).alias("_c"))

@@ -257,13 +257,17 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from linked([np.concatenate(c) for c in zip(*pending, strict=True)])
 
 
+def near_links(classes: DataFrame) -> DataFrame:
+    """(a, b): links that span all ``classes`` (fp, rep; fp distinct) at ``MAX_DIFFERENCE`` or fewer differing bits."""
+    sharded = classes.select("fp", "rep").mapInArrow(_shard, "root int, prefix bigint, rank bigint, rep bigint")
+    return sharded.repartition("root", "prefix").sortWithinPartitions("root", "rank").mapInArrow(_link, "a bigint, b bigint")
+
+
 def _grouped(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, version, fp, component_id) of every row."""
     stored = materialize(fingerprints(docs, size))
     classes = materialize(stored.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    sharded = classes.where("rep is not null").mapInArrow(_shard, "root int, prefix bigint, rank bigint, rep bigint")
-    links = sharded.repartition("root", "prefix").sortWithinPartitions("root", "rank").mapInArrow(_link, "a bigint, b bigint")
-    found = components(links)
+    found = components(near_links(classes.where("rep is not null")))
     named = classes.join(found, classes.rep == found.node, "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )

@@ -9,6 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 
+from pyspark.sql import functions as F
+
 from eatlas.llm import shingle_dedup  # noqa: E402
 
 from .helpers import Parts, collected, documents  # noqa: E402
@@ -99,3 +101,19 @@ def test_links_of_a_block():
     inside = [row(b"a", b"a", 1, 2, 3, 4), row(b"b", b"b", 1, 2, 3, 4, 5), row(b"c", b"a", 1, 2, 3, 5), row(b"d", b"d", 9)]
     links = list(shingle_dedup._spanning_links([inside[1], inside[3]], inside, 0.8))
     assert links == [(b"b", b"a")]
+
+
+def test_simhash_index_gives_candidates_of_its_own(spark, monkeypatch):
+    """Without any shared band, copies in the index are still found, and its links are checked on whole sets."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(f"v{i}" for i in range(400))), (4, "  ".join(words).upper())]
+    real = shingle_dedup._sketches
+
+    def apart(docs, size, similarity):
+        return real(docs, size, similarity).withColumn("buckets", F.array(F.xxhash64("node")))
+
+    monkeypatch.setattr(shingle_dedup, "_sketches", apart)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingle_dedup.one_of_each(docs).collect()) == [1, 3]
+    monkeypatch.setattr(shingle_dedup, "near_links", lambda classes: classes.selectExpr("fp as a", "fp as b").crossJoin(classes.selectExpr("fp as c")).selectExpr("a", "c as b").where("a < b"))
+    assert sorted(r["doc_id"] for r in shingle_dedup.one_of_each(docs).collect()) == [1, 3]
