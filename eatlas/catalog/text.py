@@ -8,6 +8,7 @@ from .. import adapters
 from ..functions import fixed_values as V
 from ..functions import geo, preferences, text
 from ..operators import matching
+from ..operators.skew import spread
 from .base import (
     SQL_LIMIT, flat_places, query, quoted, sql_address_key, sql_name_key, sql_spaces,
 )
@@ -22,9 +23,8 @@ from documents""",
 )
 def text_keys(spark, sf_dir):
     """Clean text and its comparison keys, over whole documents."""
-    docs = adapters.table(spark, sf_dir, "documents").select(
-        "doc_id", text.clean_text(F.col("text")).alias("text")
-    )
+    docs = spread(adapters.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", text.clean_text(F.col("text")).alias("text"))
     cleaned = F.col("text")
     return docs.select(
         "doc_id",
