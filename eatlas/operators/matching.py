@@ -9,6 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import geo, text
 from ..functions.verification import is_confirmed
 from .ranking import distributed_row_number
+from .skew import spread
 
 
 _HIT_COLUMNS = (
@@ -182,6 +183,8 @@ def evaluate_local_hits(
     road_address, link, mapx, mapy.
     """
     clean = lambda c: text.clean_text(text.strip_markup(F.col(c), numeric_entities))
+    # Cleaning is nearly all of the work.
+    hits, places = spread(hits), spread(places.select("id", "name", "address", "latitude", "longitude"))
     cleaned = hits.select(
         F.col("restaurant_id").alias("id"),
         "hit_ord",
