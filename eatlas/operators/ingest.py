@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import geo, menus, rules, text
-from .skew import computed_once, materialize
+from .skew import computed_once, materialize, spread
 from .snapshot import last_by_id
 
 # Menu rows of one place that one task concatenates at a time.
@@ -36,7 +36,7 @@ def adapt_wide(raw: DataFrame, clean: bool = True) -> DataFrame:
     fix = text.clean_text if clean else (lambda c: text.trim_space(F.coalesce(c, F.lit(""))))
     texts = {name: fix(F.col(f"`{column}`")) for name, column in V.WIDE_COLUMNS.items()}
     numbers = range(1, V.WIDE_MENU_COUNT + 1)
-    cleaned = raw.select(
+    cleaned = spread(raw).select(
         "ord",
         *[expression.alias(name) for name, expression in texts.items()],
         *[fix(F.col(f"`{V.WIDE_MENU_NAME.format(i)}`")).alias(f"_menu{i}") for i in numbers],
@@ -80,7 +80,7 @@ def _tier_keys(rows: DataFrame) -> DataFrame:
     """(ord, tier, key): match keys of every row, the strongest is tier 1."""
     columns = ("province", "district", "name", "address", "phone")
     parts = computed_once(
-        rows.select("ord", *columns), parts=F.struct(*[text.name_key(F.col(c)).alias(c) for c in columns])
+        spread(rows.select("ord", *columns)), parts=F.struct(*[text.name_key(F.col(c)).alias(c) for c in columns])
     ).select("ord", F.length(F.coalesce("phone", F.lit(""))).alias("_phone"), "parts.*")
     keys = (
         F.concat_ws("|", "province", "district", "name", "address"),
@@ -183,7 +183,7 @@ def locate(rows: DataFrame, existing: DataFrame, geocode_cache: DataFrame) -> Da
 def adapt_menu_rows(raw: DataFrame, clean: bool = True) -> DataFrame:
     """Usable menu rows: (rid, ord, name, key, price, region)."""
     fix = text.clean_text if clean else (lambda c: text.trim_space(F.coalesce(c, F.lit(""))))
-    cleaned = raw.select(
+    cleaned = spread(raw).select(
         F.col("menu_ord").alias("ord"),
         *[fix(F.col(c)).alias(n) for c, n in (("RSTR_ID", "rid"), ("MENU_NM", "name"), ("RGN_NM", "region"))],
         _price(raw, "MENU_PRC", fix).alias("price"),
@@ -251,7 +251,7 @@ def adapt_normalized(raw_places: DataFrame, raw_menus: DataFrame, clean: bool =
     regions = usable.groupBy("rid").agg(F.min(F.struct("ord", "region"))["region"].alias("region"))
     per_place = nested.join(regions, "rid").join(menu_words(usable), "rid")
     branch = fix(F.col("BRNCH_NM"))
-    cleaned = raw_places.select(
+    cleaned = spread(raw_places).select(
         "ord",
         fix(F.col("RSTR_ID")).alias("rid"),
         text.trim_space(F.concat_ws(" ", text.blank_to_null(fix(F.col("RSTR_NM"))), text.blank_to_null(branch))).alias("name"),
