@@ -11,18 +11,16 @@ and decides when all have landed, in however many files and batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema
 from ..functions import fixed_values as V
 from ..operators import matching
-from ..operators.skew import materialize
+from ..operators.skew import spread
 from ..sources.readers import if_exists
 
 HITS = (
@@ -76,56 +74,48 @@ def _ledger(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.createDataFrame([], f"{schema.LEDGER}, batch bigint") if stored is None else stored
 
 
-# What is known of a place: its best hit so far, the rows seen and expected, and whether it was decided.
-_STATE = "inexact boolean, meters double, hit_ord bigint, hit_id string, url string, seen bigint, expected bigint, closed boolean"
-_DECIDED = "id string, found boolean, hit_id string, hit_url string, matched_by string, distance_meters double"
+# What is known of a place: its best hit so far, the rows seen and expected, whether it was decided (once, and by
+# this batch), and until when it waits.
+_BEST = "struct<inexact: boolean, distance_meters: double, hit_ord: bigint, hit_id: string, place_url: string>"
+_KNOWN = f"id string, best {_BEST}, seen bigint, expected bigint, closed boolean, decided boolean, deadline bigint"
 
 
-def _better(best: tuple, rows: pd.DataFrame) -> tuple:
-    """The first of ``best`` and the fitting ``rows``: exact address, then distance, then order of the hits."""
-    columns = (~rows["exact"], rows["distance_meters"], rows["hit_ord"], rows["hit_id"], rows["place_url"], rows["fits"])
-    fitting = [values[:5] for values in zip(*(c.tolist() for c in columns), strict=True) if values[5]]
-    if not fitting:
-        return best
-    found = min(fitting, key=lambda f: f[:4])
-    return found if best[0] is None or found[:4] < best[:4] else best
+def _arrived(judged: DataFrame) -> DataFrame:
+    """What one batch tells of each place it has rows of."""
+    hit = F.struct((~F.col("exact")).alias("inexact"), "distance_meters", "hit_ord", "hit_id", "place_url")
+    return judged.groupBy("id").agg(
+        F.min(F.when(F.col("fits"), hit)).alias("_best"),
+        F.count("hit_id").alias("_seen"),
+        F.max("hit_count").alias("_expected"),
+    )
 
 
-def _decided(place: str, best: tuple) -> pd.DataFrame:
-    """A row without nulls: blank where nothing was found."""
-    inexact, meters, _, hit_id, url = best
-    by = V.MATCHED_BY_COORDINATES if inexact else V.MATCHED_BY_ADDRESS
-    row = (place, True, hit_id, url or "", by, meters) if hit_id is not None else (place, False, "", "", "", -1.0)
-    return pd.DataFrame([row], columns=["id", "found", "hit_id", "hit_url", "matched_by", "distance_meters"])
+def _advanced(known: DataFrame, arrived: DataFrame, now: int, wait: int) -> DataFrame:
+    """What is known of every place after a batch that came at ``now``, times in milliseconds.
 
+    A place is ``decided`` when all its hits have landed, when its time is up,
+    and when a later hit is better than the one it was decided on.
+    """
+    touched, closed = F.col("_seen").isNotNull(), F.coalesce("closed", F.lit(False))
+    best, seen = F.least("best", "_best"), F.coalesce("seen", F.lit(0)) + F.coalesce("_seen", F.lit(0))
+    expected = F.greatest("expected", "_expected")
+    complete = touched & F.coalesce(seen >= expected, F.lit(False))
+    late = ~touched & ~closed & (F.col("deadline") < now)
+    ended = closed | late | complete
+    return known.join(arrived, "id", "full").select(
+        "id",
+        best.alias("best"),
+        seen.alias("seen"),
+        expected.alias("expected"),
+        ended.alias("closed"),
+        F.when(closed, touched & ~best.eqNullSafe(F.col("best"))).otherwise(ended).alias("decided"),
+        F.when(~ended, F.when(touched, F.lit(now + wait + 1)).otherwise(F.col("deadline"))).alias("deadline"),
+    )
 
-def _waiting(wait_seconds: float):
-    """The state function: one row for a place when it is decided, and when a later hit changes that."""
 
-    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *best, seen, expected, closed = state.get if state.exists else (None, None, None, None, None, 0, None, False)
-        before = best = tuple(best)
-        if state.hasTimedOut:
-            state.update((*best, seen, expected, True))
-            yield _decided(key[0], best)
-            return
-        arrived = 0
-        for rows in chunks:
-            best = _better(best, rows)
-            seen += sum(hit is not None for hit in rows["hit_id"].tolist())
-            said = [n for n in rows["hit_count"].tolist() if n is not None and n == n]
-            expected = max([*said, expected or 0]) if said else expected
-            arrived = max(arrived, int(rows["arrived"].iloc[0].timestamp() * 1000))
-        complete = expected is not None and seen >= expected
-        decide = best != before if closed else complete
-        expected = None if expected is None else int(expected)
-        state.update((*best, seen, expected, closed or complete))
-        if not closed and not complete:
-            state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + int(wait_seconds * 1000) + 1)
-        if decide:
-            yield _decided(key[0], best)
-
-    return advance
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def enrich_complete_hits(
@@ -155,33 +145,39 @@ def enrich_complete_hits(
     corrections until the checkpoint is given up, as with a new
     ``policy_version``. Places that ``ledger`` has under the policy are left
     out. Writes ``{out}/places`` and ``{out}/ledger``, a folder for each batch
-    that decided something; a repeated batch replaces its folder.
+    that decided something; a repeated batch replaces its folder. The state
+    lies in ``{checkpoint}/known``, written whole by each batch from the one
+    before, of which the last two are kept.
     """
     todo = places if ledger is None else matching.pending(places, ledger, policy_version)
     hits = (
         spark.readStream.schema(f"{HITS}, hit_count bigint").option("maxFilesPerTrigger", max_files_per_batch).json(hits_path)
     )
-    # Batches are stamped in order, so no hit is ever too late. Rows of no place move the clock
-    # as well: a blank id is not filtered out before the stamp is noted.
-    named = hits.withColumn("restaurant_id", F.coalesce("restaurant_id", F.lit("")))
-    stamped = named.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds")
-    judged = matching.judged_hits(todo, stamped)
-    decided = judged.groupBy("id").applyInPandasWithState(
-        _waiting(wait_seconds), _DECIDED, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    known_path = f"{checkpoint_path}/known/batch="
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        found = materialize(batch)
+        known = spark.read.schema(_KNOWN).parquet(f"{known_path}{batch_id - 1}") if batch_id else spark.createDataFrame([], _KNOWN)
+        arrived = _arrived(matching.judged_hits(spread(todo.select("id", "name", "address")), batch))
+        now = int(time.time() * 1000)
+        _advanced(known, arrived, now, int(wait_seconds * 1000)).write.mode("overwrite").parquet(f"{known_path}{batch_id}")
+        _delete(spark, f"{known_path}{batch_id - 2}")
+        found = spark.read.schema(_KNOWN).parquet(f"{known_path}{batch_id}").where("decided").select(
+            "id",
+            F.col("best.hit_id").alias("hit_id"),
+            F.col("best.place_url").alias("hit_url"),
+            F.when(F.col("best.inexact"), V.MATCHED_BY_COORDINATES).otherwise(V.MATCHED_BY_ADDRESS).alias("matched_by"),
+            F.col("best.distance_meters").alias("distance_meters"),
+        )
         if found.isEmpty():
             return
         searched = todo.join(found.select("id"), "id", "left_semi")
-        done = matching.apply_matches(searched, found.where("found"), checked_at)
+        done = matching.apply_matches(searched, found, checked_at)
         done.write.mode("overwrite").parquet(f"{out_path}/places/batch={batch_id}")
         entries = matching.ledger_rows(searched, policy_version, checked_at)
         entries.write.mode("overwrite").parquet(f"{out_path}/ledger/batch={batch_id}")
 
     return (
-        decided.writeStream.foreachBatch(process)
+        hits.writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
         .start()

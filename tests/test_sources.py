@@ -223,6 +223,38 @@ def test_stream_waits_for_all_hits_of_a_place(spark, tmp_path):
     assert outcomes(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_stream_state_is_kept_by_joins(spark, tmp_path):
+    """Hits that only their links tell apart, in two files; a batch that is repeated; no place goes through Python by itself."""
+    rows = places(spark, place(1), place(2), place(3))
+    landed, out, check = (str(tmp_path / n) for n in ("landed", "out", "check"))
+
+    def land(*hits):
+        df = spark.createDataFrame([(*h, n) for h, n in hits], f"{HITS}, hit_count bigint")
+        df.coalesce(1).write.mode("append").json(landed)
+
+    def run(wait=0.0):
+        stream = enrich_complete_hits(spark, landed, rows, out, check, "t", wait_seconds=wait, max_files_per_batch=1)
+        assert stream.awaitTermination(120)
+        return stream
+
+    link = lambda h, url: (*h[:-1], url)
+    land((link(hit("r1", 4), "http://b"), 2), (hit("r2", 5), None))
+    run()
+    assert outcome(outcomes(spark, out)) == {}
+    land((link(hit("r1", 4), "http://a"), 2), (hit("r3", 6), 1))
+    stream = run()
+    assert "PandasWithState" not in stream._jsq.explainInternal(False)
+    hits = spark.read.schema(HITS).json(landed)
+    want = matching.apply_matches(rows, matching.best_place_hits(rows, hits), "t")
+    links = lambda df: {(r.id, r.place_id, r.place_url) for r in df.collect()}
+    assert links(outcomes(spark, out)) == links(want) and len(links(want)) == 3
+    # The last batch again, as if the stream had stopped before it was noted as done.
+    for name in ("1", ".1.crc"):
+        (tmp_path / "check" / "commits" / name).unlink()
+    run()
+    assert links(outcomes(spark, out)) == links(want) and outcomes(spark, out).count() == 3
+
+
 def test_judged_hits_are_the_best_ones(spark):
     rows = places(spark, place(1), place(2))
     hits = spark.createDataFrame(
