@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from eatlas.functions import geo, menus, preferences, text
+from eatlas.functions import fixed_values as V
+from eatlas.functions import geo, menus, preferences, rules, text
 
 
 def values(spark, inputs, expression, schema="v string"):
@@ -197,3 +198,33 @@ def test_reasons_ignore_any_white_space_at_the_ends(spark):
     plain = spark.createDataFrame([("상차림", 3000)], "name string, price bigint")
     reason = menus.side_menu_reason(F.col("name"), F.col("price")).alias("r")
     assert row.select(reason).first().r == plain.select(reason).first().r is not None
+
+
+def test_rules_match_as_one_regular_expression(spark):
+    patterns = [value for name, value in vars(V).items() if name.isupper() and isinstance(value, str) and "|" in value]
+    for name in ("BUSINESS_NAME_RULES", "MENU_TEXT_RULES", "AUDIT_CATEGORY_RULES", "SIDE_MENU_RULES"):
+        patterns += [pattern for _, pattern in getattr(V, name)]
+    patterns += ["ab+c|x?yz", r"\bipa\b|(?:p|q\d)+r", "[|(]k|a{2}b", "a.c", "(?:가|나)?다$"]
+    texts = [
+        "", " ", "콜라", "콜라겐 팩", "콜라겐 콜라", "떡볶이", "떡 떡볶이", "순대국", "순대", "IPA 한 잔", "pipa", "Tart", "whiskEY", "MAI TAI",
+        "사리", "라면  사리 추가", "라면사리(대)", "사리곰탕", "김치 (2.5kg", "김치 2KG", "김치", "원두 200 G", "복분", "복분자", "추가 소스", "핫소스 추가x",
+        "3 가지 메뉴", "점심 3 가지 메뉴", "2~3", "바다", "바다횟집", "카페　라떼", "식품판매장", "계란", "계란말이", "abbc", "yz", "q1pr", "(K", "|k",
+        "aab", "a\nc", "다", "K", "martını", "공기\n밥", None,
+    ]
+    texts += [word for pattern in patterns for word in rules._split(pattern)[0]]
+    rows = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string").repartition(4).cache()
+    patterns = list(dict.fromkeys(patterns))
+    for start in range(0, len(patterns), 12):
+        some = patterns[start : start + 12]
+        plain = [F.coalesce(F.col("t").rlike(rules.java_regex(p)), F.lit(False)) for p in some]
+        differs = [(rules.matches(F.col("t"), p) != whole).cast("int") for p, whole in zip(some, plain, strict=True)]
+        found = rows.select(*[F.sum(d).alias(str(i)) for i, d in enumerate(differs)]).first()
+        assert {p: n for p, n in zip(some, found, strict=True) if n} == {}
+
+
+def test_words_of_rules_are_no_regular_expressions():
+    words, rest, guards = rules._split(V.BEVERAGE_OR_ALCOHOL)
+    assert "소주" in words and rest == r"복분자주?|whisk(?:y|ey)|vodka|tequila|martini|mai tai|beer|\bipa\b|콜라(?!겐)"
+    assert guards == ["복분자", "whisk", "vodka", "tequila", "martini", "mai tai", "beer", "ipa", "콜라"]
+    assert rules._split(V.SUBSTANTIAL_MEAL)[1:] == ("", [])
+    assert rules._split(r"\d+|가") == (["가"], r"\d+", None)
