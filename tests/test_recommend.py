@@ -48,6 +48,32 @@ def test_radius_join_equals_brute_force(spark, rows_per_block):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_radius_join_rounds_as_the_exact_distance_does(spark):
+    rng = random.Random(12)
+    centres = [(37.0, 127.0), (89.999, 10.0), (-90.0, 0.0), (0.0, 180.0), (45.0, 397.0), (10.0, 36_000_127.0)]
+    spots = [(y + rng.gauss(0, 0.01), x + rng.gauss(0, 0.01)) for y, x in centres for _ in range(60)] + centres
+    # Distances of half a unit of the last decimal, and on the circle.
+    spots += [(math.degrees((n + 0.5) / 1000 / 6_371_000), 20.0) for n in range(0, 40)] + [(math.degrees(3000 / 6_371_000), 20.0)]
+    asks = [*centres, (0.0, 20.0), (0.3, 20.0)]
+    places = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "ord bigint, latitude double, longitude double")
+    requests = spark.createDataFrame(
+        [(i, *a, r) for i, a in enumerate(asks) for r in (0.0, 3000.0, 200_000.0)], "r bigint, latitude double, longitude double, radius_meters double"
+    )
+    exact = spatial.radius_join(requests, places).select("r", "radius_meters", "ord", F.round("distance_meters", 3))
+    rounded = spatial.radius_join(requests, places, decimals=3).select("r", "radius_meters", "ord", "distance_meters")
+    got, want = (sorted(map(tuple, df.collect())) for df in (rounded, exact))
+    assert got == want and len(want) > 500
+    assert {(g[0], g[1], g[2]) for g in got} == {
+        (r, limit, p) for r, a in enumerate(asks) for p, s in enumerate(spots) for limit in (0.0, 3000.0, 200_000.0) if meters(*a, *s) <= limit
+    }
+
+
+def test_one_radius_for_all_keeps_the_tasks_of_the_session(spark):
+    places = spark.createDataFrame([(i, 37.0 + i / 10, 127.0) for i in range(9)], "ord bigint, latitude double, longitude double")
+    requests = places.select(F.col("ord").alias("r"), "latitude", "longitude", F.lit(3000.0).alias("radius_meters"))
+    assert spatial.radius_join(requests, places).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scattered(rng, n):
     """Points everywhere, many of them near the seam, the poles, and edges and corners of the cube."""
     points = [(math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for _ in range(n)]
