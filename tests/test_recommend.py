@@ -314,3 +314,56 @@ def test_violations_with_more_budgets_than_a_row_holds(spark, monkeypatch):
                 pairs[request, mask] += 1
     got = {(r["request_id"], r["mask"]): r["places"] for r in R.violations(requests, classified).collect()}
     assert got == dict(pairs)
+
+
+@pytest.mark.parametrize("asks_per_row", [1000, 3])
+def test_requests_of_one_position_travel_in_one_row(spark, monkeypatch, asks_per_row):
+    """Whatever their radii, categories and budgets; the candidates are those of each request by itself."""
+    monkeypatch.setattr(R, "_ASKS_PER_ROW", asks_per_row)
+    limits = [("walking", "10"), ("walking", "wide"), ("driving", "10"), ("driving", "wide"), ("walking", "x")]
+    asked = [
+        (i, (37.0, 37.3)[i % 2], 127.0, ("전체", "한식", None)[i % 3], (7000.0, 9000.0, math.inf)[i % 3 - i % 2], *limits[i % 5]) for i in range(40)
+    ]
+    requests = spark.createDataFrame(asked, REQUESTS)
+    rows = R._by_position(R.with_limit(R.ready(requests)).withColumnRenamed("category", "wanted_category"))
+    assert rows.count() == 2 if asks_per_row == 1000 else rows.count() > 2
+    shops = [(i, f"p{i}", f"식당 {i}", ("한식", "중식")[i % 2], "중구", None, None, 37.0 + i / 200, 127.0, [("백반", 6000 + 500 * (i % 9)), ("국밥", 20000)]) for i in range(40)]
+    reach = {"10": {"walking": 4000 / 6, "driving": 4000.0}, "wide": {"walking": 2000.0, "driving": 20000.0}}
+    want = {
+        (r, f"p{i}"): 1 + (budget > 20000)
+        for r, y, x, category, budget, mode, limit in asked
+        for i, _, _, kind, _, _, _, lat, lon, items in shops
+        if category in ("전체", kind) and items[0][1] <= budget and limit in reach and meters(y, x, lat, lon) <= reach[limit][mode]
+    }
+    found = R.candidates(requests, R.classify(spark.createDataFrame(shops, PLACES)))
+    got = [((r.request_id, r.id), len(r.affordable_menus)) for r in found.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want and len(want) > 50
+
+
+def test_rounded_as_round_does(spark):
+    from eatlas.functions import geo
+
+    rng = random.Random(8)
+    values = [n / 200 for n in range(-50, 50)] + [1.005, 2.675, -0.0, 0.0, 1e8 + 0.125, -1e8 - 0.125, 1e300, math.inf, -math.inf, math.nan, None]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randrange(12) for _ in range(500)] + [math.nextafter(n / 2000, s) for n in range(1, 99, 2) for s in (0, 9)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for decimals in (2, 3):
+        got = df.select(geo.rounded(F.col("v"), decimals), F.round("v", decimals)).collect()
+        assert all(repr(a) == repr(b) for a, b in got)
+
+
+def test_places_of_one_number_are_paired_as_before(spark):
+    rows = [(1, 37.0, 127.0, "한식", 9000, "a"), (2, 37.1, 127.0, "한식", 9000, "b"), (2, 37.2, 127.0, "중식", 8000, "c"), (None, 37.3, 127.0, "한식", 1, "d")]
+    offered = spark.createDataFrame(rows, "ord long, latitude double, longitude double, display_category string, min_meal_price long, id string")
+    got = sorted((r.ord, r.latitude, r.display_category, r.id) for r in R._whole(offered).collect())
+    assert got == [(1, 37.0, "한식", "a"), *[(2, y, c, i) for y, c in ((37.1, "한식"), (37.2, "중식")) for i in "bc"]]
+
+
+def test_shuffles_of_a_stored_table_are_deleted(spark):
+    from eatlas.operators.skew import materialize
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, statuses = spark.conf.get(key), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    known = statuses.size()
+    assert materialize(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count()).count() == 10
+    assert statuses.size() <= known + 1 and spark.conf.get(key) == before
