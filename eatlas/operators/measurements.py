@@ -22,7 +22,7 @@ def route_samples(routes: DataFrame, times: str | None = None) -> DataFrame:
         "id",
         "straight_meters",
         F.floor(F.col("route_meters") + 0.5).cast("bigint").alias("route_meters"),
-        F.round(F.col("route_meters") / F.col("straight_meters"), 2).alias("multiplier"),
+        geo.rounded(F.col("route_meters") / F.col("straight_meters"), 2).alias("multiplier"),
         estimate.alias("estimated_minutes"),
         actual.alias("actual_minutes"),
         (estimate - actual).alias("error_minutes"),
@@ -30,6 +30,11 @@ def route_samples(routes: DataFrame, times: str | None = None) -> DataFrame:
     )
 
 
+def sample_counts(samples: DataFrame, times: str) -> DataFrame:
+    """Samples that :func:`route_summary` cannot tell apart as one row, which counts as often as all of them."""
+    return samples.groupBy("multiplier", "error_minutes").agg(F.sum(times).alias(times))
+
+
 def route_summary(samples: DataFrame, times: str | None = None) -> DataFrame:
     """Error summary of travel estimates as one row; zeros without samples.
 

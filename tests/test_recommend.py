@@ -340,6 +340,16 @@ def test_requests_of_one_position_travel_in_one_row(spark, monkeypatch, asks_per
     assert len(got) == len(dict(got)) and dict(got) == want and len(want) > 50
 
 
+def test_samples_that_look_alike_are_counted(spark):
+    from eatlas.operators import measurements
+
+    rows = [(f"r{i}", 1000.0 + i % 3, 1500.0, 100.0 + 700 * (i % 2), i) for i in range(1, 200)]
+    schema = "id string, straight_meters double, route_meters double, route_seconds double, times long"
+    samples = measurements.route_samples(spark.createDataFrame(rows, schema), "times")
+    few = measurements.sample_counts(samples, "times")
+    assert few.count() <= 6 and measurements.route_summary(few, "times").collect() == measurements.route_summary(samples, "times").collect()
+
+
 def test_rounded_as_round_does(spark):
     from eatlas.functions import geo
 
