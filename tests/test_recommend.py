@@ -362,6 +362,15 @@ def test_rounded_as_round_does(spark):
         assert all(repr(a) == repr(b) for a, b in got)
 
 
+@pytest.mark.parametrize("n", [0, 3, 8, 9, 40])
+def test_values_below_are_counted(spark, n):
+    rng = random.Random(n)
+    rows = [([rng.choice([1.0, 2.0, 3.5, math.inf, rng.random() * 9]) for _ in range(n)], rng.choice([0.0, 1.0, 3.5, 5.0])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "values array<double>, v double")
+    got = [r[0] for r in df.select(R._count_below(F.col("values"), F.col("v"))).collect()]
+    assert got == [sum(b < v for b in values) for values, v in rows]
+
+
 def test_places_of_one_number_are_paired_as_before(spark):
     rows = [(1, 37.0, 127.0, "한식", 9000, "a"), (2, 37.1, 127.0, "한식", 9000, "b"), (2, 37.2, 127.0, "중식", 8000, "c"), (None, 37.3, 127.0, "한식", 1, "d")]
     offered = spark.createDataFrame(rows, "ord long, latitude double, longitude double, display_category string, min_meal_price long, id string")
