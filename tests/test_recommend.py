@@ -378,6 +378,22 @@ def test_places_of_one_number_are_paired_as_before(spark):
     assert got == [(1, 37.0, "한식", "a"), *[(2, y, c, i) for y, c in ((37.1, "한식"), (37.2, "중식")) for i in "bc"]]
 
 
+@pytest.mark.parametrize("spare", [0.1, 4])
+def test_draw_options_hold_all_that_can_be_drawn(spark, monkeypatch, spare):
+    """Also where the bound lets too few options of a session pass, and where a session finds an option twice."""
+    monkeypatch.setattr(R, "_SPARE", spare)
+    shops = [(i, f"p{i}", f"식당 {i}", ("한식", "중식")[i % 2], "중구", None, None, 37.0 + i / 2000, 127.0, [("백반", 6000 + 500 * (i % 9))]) for i in range(200)]
+    classified = R.classify(spark.createDataFrame(shops, PLACES))
+    asked = [(i, i % 4, 37.0 + (i % 2) / 50, 127.0, ("전체", "한식")[i % 2], (7000.0, math.inf)[i // 4 % 2], "walking", ("10", "wide")[i // 8 % 2]) for i in range(24)]
+    asked.append((99, None, 37.0, 127.0, "전체", math.inf, "driving", "wide"))
+    requests = spark.createDataFrame(asked, REQUESTS.replace("request_id bigint,", "request_id bigint, user_id bigint,"))
+    every = R.candidates(requests, classified).select("user_id", "id")
+    drawable = R.draw_options(requests, classified, "user_id", "id", 5, "x")
+    assert spare < 1 or drawable.count() < every.where("user_id is not null").distinct().count()
+    got, want = (sorted(map(tuple, R.draw_sequence(o, "user_id", "id", 5, "x").collect())) for o in (drawable, every))
+    assert got == want and len(want) == 20
+
+
 def test_shuffles_of_a_stored_table_are_deleted(spark):
     from eatlas.operators.skew import materialize
 
