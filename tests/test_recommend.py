@@ -402,3 +402,54 @@ def test_shuffles_of_a_stored_table_are_deleted(spark):
     known = statuses.size()
     assert materialize(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count()).count() == 10
     assert statuses.size() <= known + 1 and spark.conf.get(key) == before
+
+
+def asked_and_served(spark, seed):
+    """Requests of seven users, some with several spots, and places, some more than one row or of one number."""
+    rng = random.Random(seed)
+    shops = [
+        (i % 110, f"p{i % 120:03}", f"식당 {i}", ("한식", "중식")[i % 2], "중구", None, None, 37.0 + rng.random() / 30, 127.0, [("백반", 6000 + 500 * (i % 9))])
+        for i in range(125)
+    ]
+    asked = [
+        (i, i % 7, 37.0 + (i % 7 + (i % 3 if i % 7 > 4 else 0)) / 100, 127.0, ("전체", "한식")[i % 2 if i % 7 > 4 else i % 7 % 2], rng.choice([7000.0, 9000.0, math.inf]),
+         rng.choice(["walking", "driving"]), rng.choice(["10", "20", "wide"]))
+        for i in range(60)
+    ]
+    requests = spark.createDataFrame(asked, REQUESTS.replace("request_id bigint,", "request_id bigint, user_id bigint,"))
+    return requests, R.classify(spark.createDataFrame(shops, PLACES))
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_options_are_found_by_number_as_if_all_were_stored(spark, odd):
+    requests, classified = asked_and_served(spark, 4)
+    if not odd:
+        requests, classified = requests.where("user_id < 5"), classified.where("ord between 20 and 100")
+    every = R.candidates(requests, classified).select("user_id", "id")
+    want = {}
+    for user, item in map(tuple, every.distinct().collect()):
+        want.setdefault(user, []).append(item)
+    asks = R.undominated(requests, "user_id", above="_above")
+    assert asks.count() > requests.select("user_id").distinct().count()
+    options = R.CandidateOptions(asks, classified, "user_id", "id", distinct=True)
+    assert options.odd is odd
+    assert {r.user_id: r._n for r in options.sizes().collect()} == {u: len(items) for u, items in want.items()}
+    places = [(u, n, tag) for u, items in want.items() for n in {1, len(items), len(items) // 2 + 1, len(items) + 1} for tag in (0, 1)]
+    got = options.at(spark.createDataFrame(places, "user_id long, _place long, tag int")).select("user_id", "_place", "tag", "id")
+    assert sorted(map(tuple, got.collect())) == sorted((u, n, tag, sorted(want[u])[n - 1]) for u, n, tag in places if n <= len(want[u]))
+    draws = spark.createDataFrame([(u, 9) for u in range(8)], "user_id long, draws long")
+    drawn = [sorted(map(tuple, R.nth_draws(o, draws, "user_id", "id", "x").collect())) for o in (options, every)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 9 * len(want)
+
+
+def test_one_is_picked_of_candidates_that_are_not_stored(spark):
+    requests, classified = asked_and_served(spark, 5)
+    kinds, named = R.kinds_of(requests, "request_id")
+    randoms = named.withColumn("random", F.col("request_id") / 60)
+    every = R.candidates(kinds, classified).select("kind", "id")
+    assert every.count() > every.distinct().count()
+    got, want = (
+        sorted(map(tuple, R.pick_one(o, randoms, "request_id", "id", among="kind").collect()))
+        for o in (R.CandidateOptions(kinds, classified, "kind", "id"), every)
+    )
+    assert got == want and len(want) > 30
